@@ -1,0 +1 @@
+"""Empty on purpose: every input is a finished file, so no plan needs a stream."""
