@@ -9,9 +9,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 # Sums over the sides of a ring, with coordinates seen from the first point of the shape:
 # area is twice the signed area, the other sums are moments of area and of length.
@@ -49,7 +46,7 @@ _SHAPE = """
                 when total.length > 0 then total.length_y / (2 * total.length) else 0 end))"""
 
 
-def centroid(polygons: str) -> Column:
+def centroid(polygons: str) -> str:
     """G1: area centroid of a multipolygon column as struct(x, y); null without geometry.
 
     The first ring of a polygon adds area and the others take it away, whichever way
@@ -58,7 +55,7 @@ def centroid(polygons: str) -> Column:
     """
     origin = f"get(get(get({polygons}, 0), 0), 0)"
     ring = _RING.format(origin=origin, zero=_ZERO)
-    return F.expr(_SHAPE.format(polygons=polygons, ring=ring, zero=_ZERO, origin=origin))
+    return _SHAPE.format(polygons=polygons, ring=ring, zero=_ZERO, origin=origin)
 
 
 @dataclass(frozen=True)
@@ -100,22 +97,19 @@ class LambertConic:
     def origin_radius(self) -> float:
         return self.radius_factor * self._conformal(self.origin_lat) ** self.cone
 
-    def forward(self, lon: Column, lat: Column) -> Column:
+    def forward(self, lon: str, lat: str) -> str:
         """Longitude and latitude in degrees to struct(x, y) in metres."""
-        es = F.sin(F.radians(lat)) * self.eccentricity
-        conformal = F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow(
-            (1 - es) / (1 + es), F.lit(self.eccentricity / 2)
-        )
-        radius = F.pow(conformal, F.lit(self.cone)) * self.radius_factor
-        angle = F.radians(lon - self.origin_lon) * self.cone
-        return F.struct(
-            (radius * F.sin(angle) + self.false_easting).alias("x"),
-            (self.origin_radius + self.false_northing - radius * F.cos(angle)).alias("y"),
-        )
-
-    def forward_rings(self, rings: Column) -> Column:
+        es = f"{self.eccentricity!r}D * sin(radians({lat}))"
+        conformal = f"tan(pi() / 4 - radians({lat}) / 2) / power((1 - {es}) / (1 + {es}), {self.eccentricity / 2!r}D)"
+        radius = f"({self.radius_factor!r}D * power({conformal}, {self.cone!r}D))"
+        angle = f"({self.cone!r}D * radians({lon} - ({self.origin_lon!r}D)))"
+        return f"""named_struct(
+            'x', {self.false_easting!r}D + {radius} * sin({angle}),
+            'y', {self.origin_radius + self.false_northing!r}D - {radius} * cos({angle}))"""
+
+    def forward_rings(self, rings: str) -> str:
         """G2 over every point of a polygon."""
-        return F.transform(rings, lambda ring: F.transform(ring, lambda p: self.forward(p.x, p.y)))
+        return f"transform({rings}, ring -> transform(ring, p -> {self.forward('p.x', 'p.y')}))"
 
 
 # Parameters of EPSG:2804 (Maryland state plane, metres, GRS 80).

@@ -4,44 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def strict(aggregate: Column, *inputs: Column) -> Column:
+def strict(aggregate: str, *inputs: str) -> str:
     """The aggregate, or null as soon as one input value in the group is null."""
-    complete = F.lit(True)
-    for column in inputs:
-        complete = complete & (F.count(column) == F.count(F.lit(1)))
-    return F.when(complete, aggregate)
+    complete = " and ".join(f"count({column}) = count(*)" for column in inputs)
+    return f"case when {complete} then {aggregate} end"
 
 
-def strict_count_if(condition: Column) -> Column:
+def strict_count_if(condition: str) -> str:
     """Rows where the condition holds, null if it is unknown for any row."""
-    return strict(F.count_if(condition), condition)
+    return strict(f"count_if({condition})", condition)
 
 
-def count_distinct_with_null(column: Column) -> Column:
+def count_distinct_with_null(column: str) -> str:
     """Distinct values, where null counts as one value."""
-    return F.count_distinct(column) + F.max(F.when(column.isNull(), 1).otherwise(0))
+    return f"count(distinct {column}) + max(if({column} is null, 1, 0))"
 
 
-def is_one_of(column: Column, values: Iterable[str]) -> Column:
+def is_one_of(column: str, values: Iterable[str]) -> str:
     """Set membership that is false, never null, for a null."""
-    return F.coalesce(column.isin(list(values)), F.lit(False))
+    listed = ", ".join(f"'{value}'" for value in values)
+    return f"coalesce({column} in ({listed}), false)"
 
 
-def if_else(condition: Column, yes: Column, no: Column) -> Column:
+def if_else(condition: str, yes: str, no: str) -> str:
     """A two-way choice that is null where the condition is null."""
-    return F.when(condition, yes).when(~condition, no)
+    return f"case when {condition} then {yes} when not ({condition}) then {no} end"
 
 
-def blank_to_null(column: Column) -> Column:
-    """Trimmed text, with empty text and the word NA read as null."""
-    trimmed = F.trim(column)
-    return F.when(~trimmed.isin("", "NA"), trimmed)
+def yes_no(condition: str) -> str:
+    """Y or N, null where the condition is null."""
+    return if_else(condition, "'Y'", "'N'")
 
 
-def yes_no(condition: Column) -> Column:
-    """Y or N, null where the condition is null."""
-    return if_else(condition, F.lit("Y"), F.lit("N"))
+def blank_to_null(column: str) -> str:
+    """Trimmed text, with empty text and the word NA read as null."""
+    return f"nullif(nullif(trim({column}), ''), 'NA')"

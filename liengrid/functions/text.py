@@ -1,47 +1,44 @@
-"""Text expressions: title case, header names, account numbers."""
+"""Title case, account numbers and header names."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from liengrid.functions.nulls import if_else
 
-# A word starts after whitespace or after a mark that is not part of a word.
-_WORD_START_AFTER_MARK = r"(?<=[^\p{IsAlphabetic}\p{N}\s_'’.:])(?=[\p{IsAlphabetic}\p{N}])"
-_SEAM = "\u0001 "
+# A word starts after whitespace or after a mark that is not part of a word; \x27 is
+# the apostrophe.
+_WORD_START_AFTER_MARK = r"(?<=[^\p{IsAlphabetic}\p{N}\s_\x27’.:])(?=[\p{IsAlphabetic}\p{N}])"
+_SEAM = r"'\u0001 '"
 
 
-def title_case(text: Column) -> Column:
+def title_case(text: str) -> str:
     """Capitals at word starts, also after a hyphen or slash ("Paid-In-Full").
 
     initcap starts words at spaces only, so a seam is put before the other word
     starts and taken out again.
     """
-    seamed = F.regexp_replace(text, _WORD_START_AFTER_MARK, _SEAM)
-    return F.replace(F.initcap(seamed), F.lit(_SEAM), F.lit(""))
+    return f"replace(initcap(regexp_replace({text}, r'{_WORD_START_AFTER_MARK}', {_SEAM})), {_SEAM}, '')"
 
 
-def has_letter(text: Column) -> Column:
+def has_letter(text: str) -> str:
     """Contains a letter of any script; null on null."""
-    return text.rlike(r"\p{IsAlphabetic}")
+    return rf"({text} rlike r'\p{{IsAlphabetic}}')"
 
 
-def _without_padding(part: Column) -> Column:
-    return if_else(has_letter(part), part, F.substr(part, F.lit(2)))
+def _without_padding(part: str) -> str:
+    return if_else(has_letter(part), part, f"substring({part}, 2)")
 
 
-def account_block(account: Column) -> Column:
+def account_block(account: str) -> str:
     """block = first five characters, less the leading one unless a letter occurs."""
-    return _without_padding(F.substr(account, F.lit(1), F.lit(5)))
+    return _without_padding(f"substring({account}, 1, 5)")
 
 
-def account_lot(account: Column) -> Column:
+def account_lot(account: str) -> str:
     """lot = from the sixth character on, less the leading one unless a letter occurs."""
-    return _without_padding(F.substr(account, F.lit(6)))
+    return _without_padding(f"substring({account}, 6)")
 
 
 def snake_names(headers: Iterable[str]) -> list[str]:

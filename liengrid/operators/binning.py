@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from liengrid.operators.quantiles import grouped_quantiles
 
@@ -16,17 +15,13 @@ def equal_count_bins(df: DataFrame, column: str, bins: int, prefix: str) -> Data
     known before the rows are scanned.
     """
     fractions = [(i, bins) for i in range(bins + 1)]
-    breaks = grouped_quantiles(df, [], [column], fractions, few_groups=True).select(
-        F.array_sort(F.array_distinct(column))
-    )
-    value = F.col(column).cast("double")
-    found = (
-        df.withColumn("_breaks", breaks.scalar())
-        .withColumn(prefix, F.greatest(F.size(F.filter("_breaks", lambda b: b < value)), F.lit(1)))
-        .withColumn(prefix, F.when(value.isNotNull(), F.col(prefix)))
-    )
-    return (
-        found.withColumn(f"{prefix}_low", F.get("_breaks", F.col(prefix) - 1))
-        .withColumn(f"{prefix}_high", F.get("_breaks", F.least(F.col(prefix), F.size("_breaks") - 1)))
-        .drop("_breaks")
+    quantiles = grouped_quantiles(df, [], [column], fractions, few_groups=True)
+    breaks = quantiles.selectExpr(f"array_sort(array_distinct(`{column}`))").scalar()
+    value = f"cast(`{column}` as double)"
+    number = f"if({value} is null, null, greatest(size(filter(_breaks, b -> b < {value})), 1))"
+    found = df.withColumn("_breaks", breaks).selectExpr("*", f"{number} as `{prefix}`")
+    return found.selectExpr(
+        "* except (_breaks)",
+        f"get(_breaks, `{prefix}` - 1) as `{prefix}_low`",
+        f"get(_breaks, least(`{prefix}`, size(_breaks) - 1)) as `{prefix}_high`",
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liengrid.operators.columns import aggregate_sql
+
 AREA_TYPES = ("neighborhood", "csa", "council_district")
 UNKNOWN = "Unknown"
 
@@ -18,13 +20,8 @@ def by_area(df: DataFrame, area_types: Sequence[str], columns: Sequence[str]) ->
 
 def area_property_count(parcels: DataFrame, area_types: Sequence[str] = AREA_TYPES) -> DataFrame:
     """A1: parcels per area for every area type, parcels without an area as Unknown."""
-    return (
-        by_area(parcels, area_types, [])
-        .groupBy("area", "type")
-        .agg(F.count(F.lit(1)).alias("num_properties"))
-        .fillna({"area": UNKNOWN})
-        .select("area", "num_properties", "type")
-    )
+    counts = aggregate_sql(by_area(parcels, area_types, []), ["area", "type"], {"num_properties": "count(*)"})
+    return counts.selectExpr(f"coalesce(area, '{UNKNOWN}') as area", "num_properties", "type")
 
 
 def area_year_grid(areas: DataFrame, years: DataFrame | Sequence[int]) -> DataFrame:
@@ -34,7 +31,7 @@ def area_year_grid(areas: DataFrame, years: DataFrame | Sequence[int]) -> DataFr
     They become one array value, so no cross join is needed.
     """
     if isinstance(years, DataFrame):
-        listed = years.agg(F.sort_array(F.collect_set("auction_year")).alias("_years")).scalar()
+        listed = years.agg(F.expr("sort_array(collect_set(auction_year)) as _years")).scalar()
     else:
-        listed = F.array(*[F.lit(int(y)) for y in years])
-    return areas.withColumn("_years", listed).withColumn("auction_year", F.explode("_years")).drop("_years")
+        listed = F.expr(f"array({', '.join(str(int(year)) for year in years)})")
+    return areas.withColumn("_years", listed).selectExpr("* except (_years)", "explode(_years) as auction_year")

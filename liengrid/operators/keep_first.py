@@ -4,27 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-_RANK = "_keep_first_rank"
+_PLACE = "_place"
 
 
-def nulls_last(order: Sequence[str | Column]) -> list[Column]:
-    """Names become ascending sorts with nulls at the end; columns stay as they are."""
-    return [F.col(item).asc_nulls_last() if isinstance(item, str) else item for item in order]
+def nulls_last(name: str) -> str:
+    return f"`{name}` asc nulls last"
 
 
-def locale_order(name: str) -> Column:
+def locale_order(name: str) -> str:
     """Sort text by locale rules, nulls at the end."""
-    return F.collate(name, "UNICODE").asc_nulls_last()
+    return f"collate(`{name}`, 'UNICODE') asc nulls last"
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of every key, where null keys equal each other.
 
-    Spark cuts each input partition to one row per key before it shuffles, so a key
-    that holds a large part of the table sends one row per input task.
+    order holds sort items as SQL text, see nulls_last. Spark cuts each input partition
+    to one row per key before it shuffles, so a key that holds a large part of the table
+    sends one row per input task.
     """
-    first = Window.partitionBy(*keys).orderBy(*nulls_last(order))
-    return df.withColumn(_RANK, F.row_number().over(first)).where(F.col(_RANK) == 1).drop(_RANK)
+    partition = ", ".join(f"`{key}`" for key in keys)
+    place = f"row_number() over (partition by {partition} order by {', '.join(order)}) as {_PLACE}"
+    return df.selectExpr("*", place).where(f"{_PLACE} = 1").drop(_PLACE)

@@ -3,27 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liengrid.operators.columns import aggregate_sql
 
-def same_keys(keys: Sequence[str], left: str = "l", right: str = "r") -> Column:
+
+def same_keys(keys: Sequence[str], left: str = "l", right: str = "r") -> str:
     """Equality of all keys with null equal to null; Spark still plans an equi-join."""
-    return reduce(
-        lambda a, b: a & b,
-        [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys],
-    )
+    return " and ".join(f"{left}.`{key}` <=> {right}.`{key}`" for key in keys)
 
 
 def left_match(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str = "_right") -> DataFrame:
     """Left join on keys; columns present on both sides get the suffix on the right."""
     taken = set(left.columns)
     attributes = [
-        F.col(f"r.{c}").alias(c + suffix if c in taken else c) for c in right.columns if c not in keys
+        f"r.`{c}` as `{c + suffix if c in taken else c}`" for c in right.columns if c not in keys
     ]
-    return left.alias("l").join(right.alias("r"), same_keys(keys), "left").select("l.*", *attributes)
+    joined = left.alias("l").join(right.alias("r"), F.expr(same_keys(keys)), "left")
+    return joined.selectExpr("l.*", *attributes)
 
 
 def match_audit(
@@ -33,24 +32,26 @@ def match_audit(
 
     Both sides are counted per key first, so the pairs of a frequent key are never built.
     """
-    rows = facts.groupBy(*dict.fromkeys([*keys, *kept_keys])).agg(F.count(F.lit(1)).alias("_rows"))
-    found = parcels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_parcels"))
-    matched = F.col("_parcels").isNotNull()
-    per_kept_row = (
-        left_match(rows, found, keys)
-        .groupBy(*kept_keys)
-        .agg(
-            F.sum("_rows").alias("_rows"),
-            F.sum(F.when(matched, F.col("_rows")).otherwise(0)).alias("_matched"),
-            F.sum(F.col("_rows") * F.coalesce("_parcels", F.lit(1))).alias("_joined"),
-        )
+    rows = aggregate_sql(facts, list(dict.fromkeys([*keys, *kept_keys])), {"_rows": "count(*)"})
+    found = aggregate_sql(parcels, keys, {"_parcels": "count(*)"})
+    per_kept_row = aggregate_sql(
+        left_match(rows, found, keys),
+        kept_keys,
+        {
+            "_rows": "sum(_rows)",
+            "_matched": "sum(if(_parcels is null, 0, _rows))",
+            "_joined": "sum(_rows * coalesce(_parcels, 1))",
+        },
     )
-    total = lambda column: F.coalesce(F.sum(column), F.lit(0)).cast("long")
-    return per_kept_row.agg(
-        total("_rows").alias("rows_in"),
-        total("_matched").alias("rows_matched"),
-        total(F.col("_rows") - F.col("_matched")).alias("rows_unmatched"),
-        total("_joined").alias("rows_after_join"),
-        F.count(F.lit(1)).alias("rows_kept"),
-        F.count_if(F.col("_matched") > 0).alias("rows_kept_matched"),
+    return aggregate_sql(
+        per_kept_row,
+        [],
+        {
+            "rows_in": "coalesce(sum(_rows), 0)",
+            "rows_matched": "coalesce(sum(_matched), 0)",
+            "rows_unmatched": "coalesce(sum(_rows - _matched), 0)",
+            "rows_after_join": "coalesce(sum(_joined), 0)",
+            "rows_kept": "count(*)",
+            "rows_kept_matched": "count_if(_matched > 0)",
+        },
     )

@@ -10,12 +10,13 @@ distinct values per bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liengrid.operators.columns import aggregate_sql, names_sql, select_sql
+
 BUCKETS_PER_E_FOLD = 1000
 # A group asks for at most two positions per fraction, so the rows broadcast below are
 # groups x columns x fractions x 2 of about 100 bytes each.
@@ -23,32 +24,36 @@ MAX_BROADCAST_GROUPS = 50_000
 
 MEDIAN = (1, 2)
 
+# A whole number that never falls as the value rises, in steps of 0.1 percent.
+_BUCKET = f"cast(sign(_value) * floor(ln(1 + abs(_value)) * {BUCKETS_PER_E_FOLD}) as bigint)"
+
 
 def fits_broadcast(groups: DataFrame, max_rows: int = MAX_BROADCAST_GROUPS) -> bool:
     """Whether a table of groups is small; stops counting at the limit."""
     return groups.limit(max_rows + 1).count() <= max_rows
 
 
-def _bucket(value: Column) -> Column:
-    """A whole number that never falls as value rises, in steps of 0.1 percent."""
-    size = F.floor(F.log1p(F.abs(value)) * BUCKETS_PER_E_FOLD)
-    return F.when(value < 0, -size).otherwise(size)
-
-
-def _positions(total: Column, fraction: tuple[int, int]) -> tuple[Column, Column, Column]:
+def _position(fraction: tuple[int, int]) -> tuple[str, str, str]:
     """Lower and upper 0-based rank of a quantile and the weight of the upper one.
 
     Whole-number arithmetic, so that a quantile that falls on a row is that row.
     """
     part, whole = fraction
-    steps = (total - 1) * part
-    remainder = F.pmod(steps, F.lit(whole))
-    low = ((steps - remainder) / F.lit(whole)).cast("long")
-    return low, low + F.when(remainder > 0, 1).otherwise(0), remainder / F.lit(float(whole))
+    steps = f"((_total - 1) * {part})"
+    low = f"({steps} div {whole})"
+    return low, f"({low} + if({steps} % {whole} > 0, 1, 0))", f"({steps} % {whole} / {whole}D)"
+
+
+def _holds(position: str) -> str:
+    return f"(_before <= {position} and {position} < _before + _rows)"
 
 
-def _any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _quantile(column: str, fraction: tuple[int, int]) -> str:
+    mine = f"_column = '{column}'"
+    low, high, weight = _position(fraction)
+    share = f"max(if({mine}, {weight}, null))"
+    at = lambda position: f"max(if({mine} and {_holds(position)}, _value, null))"
+    return f"({at(low)} * (1 - {share}) + {at(high)} * {share})"
 
 
 def grouped_quantiles(
@@ -66,59 +71,54 @@ def grouped_quantiles(
     and df is read a second time, instead of shuffling every value.
     """
     group = [*keys, "_column"]
+    by_group = ", ".join(f"`{name}`" for name in group)
     values = (
-        df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+        select_sql(df, names_sql(*keys) | {c: f"cast(`{c}` as double)" for c in columns})
         .unpivot(list(keys), list(columns), "_column", "_value")
-        .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-        .withColumn("_bucket", _bucket(F.col("_value")))
+        .where("_value is not null and not isnan(_value)")
     )
     if few_groups:
-        values = values.withColumn("_rows", F.lit(1).cast("long"))
+        values = values.selectExpr("*", f"{_BUCKET} as _bucket", "1L as _rows")
     else:
-        values = values.groupBy(*group, "_bucket", "_value").agg(F.count(F.lit(1)).alias("_rows"))
+        counted = aggregate_sql(values, [*group, "_value"], {"_rows": "count(*)"})
+        values = counted.selectExpr("*", f"{_BUCKET} as _bucket")
 
-    buckets = values.groupBy(*group, "_bucket").agg(F.sum("_rows").alias("_rows"))
-    up_to_here = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = aggregate_sql(values, [*group, "_bucket"], {"_rows": "sum(_rows)"})
+    up_to_here = f"over (partition by {by_group} order by _bucket rows unbounded preceding)"
+    positions = {p for fraction in fractions for p in _position(fraction)[:2]}
     wanted = (
-        buckets.withColumn("_before", F.sum("_rows").over(up_to_here) - F.col("_rows"))
-        .withColumn("_total", F.sum("_rows").over(Window.partitionBy(*group)))
-        .where(_any_of([_holds(p) for f in fractions for p in _positions(F.col("_total"), f)[:2]]))
+        buckets.selectExpr(
+            *group,
+            "_bucket",
+            "_rows",
+            f"sum(_rows) {up_to_here} - _rows as _before",
+            f"sum(_rows) over (partition by {by_group}) as _total",
+        )
+        .where(" or ".join(_holds(position) for position in sorted(positions)))
         .drop("_rows")
     )
     if few_groups:
         wanted = F.broadcast(wanted)
 
-    on = [F.col(f"v.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
-    on += [F.col(f"v.{k}") == F.col(f"w.{k}") for k in ("_column", "_bucket")]
-    in_bucket = Window.partitionBy(*group, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        values.alias("v")
-        .join(wanted.alias("w"), reduce(lambda a, b: a & b, on))
-        .select("v.*", "w._before", "w._total")
-        .groupBy(*group, "_bucket", "_value", "_before", "_total")
-        .agg(F.sum("_rows").alias("_rows"))
-        .withColumn("_before", F.col("_before") + F.sum("_rows").over(in_bucket) - F.col("_rows"))
+    same = [f"v.`{k}` <=> w.`{k}`" for k in keys] + ["v._column = w._column", "v._bucket = w._bucket"]
+    candidates = values.alias("v").join(wanted.alias("w"), F.expr(" and ".join(same)))
+    counted = aggregate_sql(
+        candidates.selectExpr("v.*", "w._before", "w._total"),
+        [*group, "_bucket", "_value", "_before", "_total"],
+        {"_rows": "sum(_rows)"},
     )
-    return ranked.groupBy(*keys).agg(
-        *[F.array(*[_quantile(c, f) for f in fractions]).alias(c) for c in columns]
+    in_bucket = f"over (partition by {by_group}, _bucket order by _value rows unbounded preceding)"
+    ranked = counted.selectExpr(
+        *group, "_value", "_rows", "_total", f"_before + sum(_rows) {in_bucket} - _rows as _before"
+    )
+    return aggregate_sql(
+        ranked, keys, {c: f"array({', '.join(_quantile(c, f) for f in fractions)})" for c in columns}
     )
-
-
-def _holds(position: Column) -> Column:
-    return (F.col("_before") <= position) & (position < F.col("_before") + F.col("_rows"))
-
-
-def _quantile(column: str, fraction: tuple[int, int]) -> Column:
-    mine = F.col("_column") == column
-    low, high, weight = _positions(F.col("_total"), fraction)
-    at = lambda position: F.max(F.when(mine & _holds(position), F.col("_value")))
-    share = F.max(F.when(mine, weight))
-    return at(low) * (1 - share) + at(high) * share
 
 
 def grouped_medians(
-    df: DataFrame, keys: Sequence[str], columns: dict[str, str], few_groups: bool = False
+    df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], few_groups: bool = False
 ) -> DataFrame:
     """Exact medians; columns maps an output name to an input column."""
     quantiles = grouped_quantiles(df, keys, list(columns.values()), (MEDIAN,), few_groups)
-    return quantiles.select(*keys, *[F.col(source)[0].alias(name) for name, source in columns.items()])
+    return select_sql(quantiles, names_sql(*keys) | {name: f"`{c}`[0]" for name, c in columns.items()})

@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liengrid.functions.nulls import count_distinct_with_null, is_one_of, strict, strict_count_if
-from liengrid.functions.numbers import money_mean, money_sum, pct
+from liengrid.functions.numbers import money_mean, money_sum, pct, to_cents
+from liengrid.operators.columns import aggregate_sql, with_sql
 from liengrid.operators.grid import AREA_TYPES, UNKNOWN, area_year_grid, by_area
-from liengrid.operators.keep_first import locale_order
 from liengrid.operators.quantiles import fits_broadcast, grouped_medians
 
-HOMEOWNER_CODES = ("D", "H")
 CELL = ["type", "area", "auction_year"]
 
 AREA_YEAR_COLUMNS = [
@@ -83,59 +82,53 @@ ADVERTISED_COLUMNS = [
 ]
 
 
-def is_homeowner() -> Column:
-    return is_one_of(F.col("occupied"), HOMEOWNER_CODES)
+IS_HOMEOWNER = is_one_of("occupied", ("D", "H"))
 
 
-def auction_measures() -> list[Column]:
+def auction_measures() -> dict[str, str]:
     """A11 without medians and shares."""
-    bidder = F.col("winning_bidder_name")
-    return [
-        F.count(F.lit(1)).alias("num_advertised"),
-        F.count_if(F.col("removed") == "Y").alias("num_removed"),
-        F.count_if(F.col("removed") == "N").alias("num_scheduled"),
-        F.count(bidder).alias("num_sold"),
-        strict(money_sum(F.col("lien_amount")), F.col("lien_amount")).alias("sum_lien_amount"),
-        F.count(F.col("lien_amount")).alias("_lien_amounts"),
-        F.count(F.col("assessed_value")).alias("_assessed_values"),
-        count_distinct_with_null(bidder).alias("num_winning_bidders"),
-        F.bround(F.avg("num_bids"), 2).alias("mean_num_bids"),
-    ]
-
-
-def homestead_measures(snapshot_year: int) -> list[Column]:
+    return {
+        "num_advertised": "count(*)",
+        "num_removed": "count_if(removed = 'Y')",
+        "num_scheduled": "count_if(removed = 'N')",
+        "num_sold": "count(winning_bidder_name)",
+        "sum_lien_amount": strict(money_sum("lien_amount"), "lien_amount"),
+        "_lien_amounts": "count(lien_amount)",
+        "_assessed_values": "count(assessed_value)",
+        "num_winning_bidders": count_distinct_with_null("winning_bidder_name"),
+        "mean_num_bids": "bround(avg(num_bids), 2)",
+    }
+
+
+def homestead_measures(snapshot_year: int) -> dict[str, str]:
     """Rows of earlier years with a homestead; null where a cell has none."""
-    homestead = (F.col("homestead") == "Y") & (F.col("auction_year") != snapshot_year)
-    rows = F.count_if(homestead)
-    return [
-        F.when(rows > 0, rows).alias("num_advertised_homestead"),
-        F.when(rows > 0, F.count_if(homestead & (F.col("removed") == "N"))).alias("num_scheduled_homestead"),
-    ]
+    rows = f"homestead = 'Y' and auction_year <> {snapshot_year}"
+    return {
+        "num_advertised_homestead": f"nullif(count_if({rows}), 0)",
+        "num_scheduled_homestead": f"if(count_if({rows}) > 0, count_if({rows} and removed = 'N'), null)",
+    }
 
 
-def occupancy_measures(snapshot_year: int) -> list[Column]:
+def occupancy_measures(snapshot_year: int) -> dict[str, str]:
     """Rows of the snapshot year only, the one the parcel attributes describe."""
-    current = F.col("auction_year") == snapshot_year
-    occupied = current & (F.col("owner_occupied") == "1")
+    current = f"auction_year = {snapshot_year}"
     counts = {
-        "num_owner_occupied": F.count_if(occupied),
-        "num_owner_occupied_removed": F.count_if(occupied & (F.col("removed") == "Y")),
-        "num_vacant": F.count_if(current & (F.col("vacind") == "Y")),
+        "num_owner_occupied": "owner_occupied = '1'",
+        "num_owner_occupied_removed": "owner_occupied = '1' and removed = 'Y'",
+        "num_vacant": "vacind = 'Y'",
+    }
+    return {
+        name: f"if(count_if({current}) > 0, count_if({current} and {rows}), null)"
+        for name, rows in counts.items()
     }
-    return [F.when(F.count_if(current) > 0, count).alias(name) for name, count in counts.items()]
 
 
-def winning_bid_measures() -> list[Column]:
+def winning_bid_measures() -> dict[str, str]:
     """Winning bids per cell, null bids skipped."""
-    bid = F.col("winning_bid")
-    return [
-        F.coalesce(money_sum(bid), F.lit(0.0)).alias("sum_winning_bids"),
-        F.bround(money_mean(bid), 2).alias("mean_winning_bid"),
-    ]
-
-
-def _share(part: str, whole: str) -> Column:
-    return pct(F.col(part), F.col(whole))
+    return {
+        "sum_winning_bids": f"coalesce({money_sum('winning_bid')}, 0D)",
+        "mean_winning_bid": f"cast({to_cents(money_mean('winning_bid'))} as double)",
+    }
 
 
 def area_year_cells(
@@ -150,6 +143,7 @@ def area_year_cells(
 ) -> DataFrame:
     """One row per area type, area and year that occurs.
 
+    few_cells says that the number of cells has been checked to be small.
     median_accuracy switches to approximate medians with that accuracy.
     """
     medians = {"median_lien_amount": "lien_amount", "median_assessed_value": "assessed_value"}
@@ -159,41 +153,36 @@ def area_year_cells(
     if keep_unmatched:
         facts = facts.fillna({"area": UNKNOWN})
 
-    measures = [
-        *auction_measures(),
-        *homestead_measures(snapshot_year),
-        *occupancy_measures(snapshot_year),
-        *(winning_bid_measures() if bid_measures else []),
-    ]
+    measures = auction_measures() | homestead_measures(snapshot_year) | occupancy_measures(snapshot_year)
+    if bid_measures:
+        measures |= winning_bid_measures()
     if median_accuracy:
-        measures += [F.percentile_approx(c, 0.5, median_accuracy).alias(n) for n, c in medians.items()]
-    cells = facts.groupBy(*CELL).agg(*measures)
+        measures |= {name: f"percentile_approx({c}, 0.5, {median_accuracy})" for name, c in medians.items()}
 
     # the homestead measures exist only if the year before the snapshot does.
-    cells = cells.withColumn(
-        "_has_pre_year", F.max(F.col("auction_year") == pre_year).over(Window.partitionBy("type"))
-    ).where(F.col("area").isNotNull() & F.col("auction_year").isNotNull())
+    on_grid = "area is not null and auction_year is not null"
+    cells = (
+        aggregate_sql(facts, CELL, measures)
+        .selectExpr("*", f"max(auction_year = {pre_year}) over (partition by type) as _has_pre_year")
+        .where(on_grid)
+    )
     if not median_accuracy:
-        placed = facts.where(F.col("area").isNotNull() & F.col("auction_year").isNotNull())
-        cells = cells.join(grouped_medians(placed, CELL, medians, few_cells), CELL, "left")
-
-    whole = F.col("num_advertised")
-    has_pre_year = F.col("_has_pre_year")
-    return cells.withColumns(
-        {
-            "median_lien_amount": F.when(F.col("_lien_amounts") == whole, F.col("median_lien_amount")),
-            "median_assessed_value": F.when(F.col("_assessed_values") == whole, F.col("median_assessed_value")),
-            "perc_removed": _share("num_removed", "num_advertised"),
-            "num_advertised_homestead": F.when(has_pre_year, F.col("num_advertised_homestead")),
-            "num_scheduled_homestead": F.when(has_pre_year, F.col("num_scheduled_homestead")),
-            "perc_scheduled_homestead": F.when(
-                has_pre_year, _share("num_scheduled_homestead", "num_advertised_homestead")
-            ),
-            "perc_owner_occupied": _share("num_owner_occupied", "num_advertised"),
-            "perc_owner_occupied_removed": _share("num_owner_occupied_removed", "num_owner_occupied"),
-            "perc_vacant": _share("num_vacant", "num_advertised"),
-        }
-    ).drop("_lien_amounts", "_assessed_values", "_has_pre_year")
+        cells = cells.join(grouped_medians(facts.where(on_grid), CELL, medians, few_cells), CELL, "left")
+    homestead = {name: f"if(_has_pre_year, {name}, null)" for name in homestead_measures(snapshot_year)}
+    shares = {
+        "perc_removed": pct("num_removed", "num_advertised"),
+        "perc_scheduled_homestead": pct(
+            homestead["num_scheduled_homestead"], homestead["num_advertised_homestead"]
+        ),
+        "perc_owner_occupied": pct("num_owner_occupied", "num_advertised"),
+        "perc_owner_occupied_removed": pct("num_owner_occupied_removed", "num_owner_occupied"),
+        "perc_vacant": pct("num_vacant", "num_advertised"),
+    }
+    complete = {
+        "median_lien_amount": "if(_lien_amounts = num_advertised, median_lien_amount, null)",
+        "median_assessed_value": "if(_assessed_values = num_advertised, median_assessed_value, null)",
+    }
+    return with_sql(cells, homestead | shares | complete)
 
 
 def _densify(grid: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,7 +192,7 @@ def _densify(grid: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def sort_by_area_year(summary: DataFrame) -> DataFrame:
     """The published row order."""
-    return summary.orderBy("type", locale_order("area"), "auction_year")
+    return summary.orderBy("type", F.expr("collate(area, 'UNICODE')").asc_nulls_last(), "auction_year")
 
 
 def summarise_by_area(
@@ -222,8 +211,7 @@ def summarise_by_area(
     counts is the area_property_count table. Results without an area are left out, as
     the published tables do (N17), unless keep_unmatched puts them under Unknown.
     """
-    areas = counts.where(F.col("type").isin(list(area_types)))
-    grid = area_year_grid(areas, years)
+    grid = area_year_grid(_areas_of(counts, area_types), years)
     cells = area_year_cells(
         results,
         area_types,
@@ -231,34 +219,37 @@ def summarise_by_area(
         snapshot_year,
         bid_measures,
         keep_unmatched,
-        few_cells=fits_broadcast(grid),
+        few_cells=median_accuracy is None and fits_broadcast(grid),
         median_accuracy=median_accuracy,
     )
-    dense = _densify(grid, cells, CELL).withColumns(
+    dense = with_sql(
+        _densify(grid, cells, CELL),
         {
-            "perc_properties_area": _share("num_advertised", "num_properties"),
-            "perc_properties_sold_area": _share("num_sold", "num_properties"),
-        }
+            "perc_properties_area": pct("num_advertised", "num_properties"),
+            "perc_properties_sold_area": pct("num_sold", "num_properties"),
+        },
     )
     extra = BID_COLUMNS if bid_measures else []
     return sort_by_area_year(dense.select(*AREA_YEAR_COLUMNS, *extra))
 
 
-def advertised_measures() -> list[Column]:
+def _areas_of(counts: DataFrame, area_types: Sequence[str]) -> DataFrame:
+    listed = ", ".join(f"'{name}'" for name in area_types)
+    return counts.where(f"type in ({listed})")
+
+
+def advertised_measures() -> dict[str, str]:
     """A14 without medians and shares."""
-    vacant = F.col("vacind") == "Y"
-    lot = F.col("no_imprv") == "Y"
-    lien = F.col("lien_amount")
-    return [
-        F.count(F.lit(1)).alias("num_advertised"),
-        F.coalesce(money_sum(lien), F.lit(0.0)).alias("sum_lien_amount"),
-        F.count(lien).alias("_lien_amounts"),
-        F.count("assessment").alias("_assessments"),
-        strict_count_if(vacant).alias("num_vacant"),
-        strict_count_if(lot).alias("num_vacant_lot"),
-        F.count_if(is_homeowner()).alias("num_owner_occupied"),
-        strict_count_if(is_homeowner() & (F.col("vacind") != "Y")).alias("num_owner_occupied_not_vacant"),
-    ]
+    return {
+        "num_advertised": "count(*)",
+        "sum_lien_amount": f"coalesce({money_sum('lien_amount')}, 0D)",
+        "_lien_amounts": "count(lien_amount)",
+        "_assessments": "count(assessment)",
+        "num_vacant": strict_count_if("vacind = 'Y'"),
+        "num_vacant_lot": strict_count_if("no_imprv = 'Y'"),
+        "num_owner_occupied": f"count_if({IS_HOMEOWNER})",
+        "num_owner_occupied_not_vacant": strict_count_if(f"{IS_HOMEOWNER} and vacind <> 'Y'"),
+    }
 
 
 def summarise_advertised(
@@ -269,41 +260,32 @@ def summarise_advertised(
     keep_unmatched: bool = False,
 ) -> DataFrame:
     """Summary of an advertised list on the area grid, for one or more area types."""
-    areas = counts.where(F.col("type").isin(list(area_types)))
+    keys = ["type", "area"]
+    areas = _areas_of(counts, area_types)
     facts = by_area(advertised, area_types, ADVERTISED_INPUTS)
     facts = facts.fillna({"area": UNKNOWN}) if keep_unmatched else facts.where("area is not null")
-    keys = ["type", "area"]
     medians = grouped_medians(
         facts,
         keys,
         {"median_lien_amount": "lien_amount", "median_assessed_value": "assessment"},
         few_groups=fits_broadcast(areas),
     )
-    cells = facts.groupBy(*keys).agg(*advertised_measures()).join(medians, keys, "left")
-    whole = F.col("num_advertised")
-    cells = cells.withColumns(
+    cells = aggregate_sql(facts, keys, advertised_measures()).join(medians, keys, "left")
+    dense = with_sql(
+        _densify(area_year_grid(areas, [auction_year]), cells, keys),
         {
-            "median_lien_amount": F.when(F.col("_lien_amounts") == whole, F.col("median_lien_amount")),
-            "median_assessed_value": F.when(F.col("_assessments") == whole, F.col("median_assessed_value")),
-            "perc_vacant": _share("num_vacant", "num_advertised"),
-            "perc_owner_occupied_not_vacant": _share("num_owner_occupied_not_vacant", "num_advertised"),
-            "perc_vacant_lot": _share("num_vacant_lot", "num_advertised"),
-        }
-    )
-    dense = _densify(area_year_grid(areas, [auction_year]), cells, keys).withColumn(
-        "perc_properties_area", _share("num_advertised", "num_properties")
+            "median_lien_amount": "if(_lien_amounts = num_advertised, median_lien_amount, null)",
+            "median_assessed_value": "if(_assessments = num_advertised, median_assessed_value, null)",
+            "perc_properties_area": pct("num_advertised", "num_properties"),
+            "perc_vacant": pct("num_vacant", "num_advertised"),
+            "perc_owner_occupied_not_vacant": pct("num_owner_occupied_not_vacant", "num_advertised"),
+            "perc_vacant_lot": pct("num_vacant_lot", "num_advertised"),
+        },
     )
     return sort_by_area_year(dense.select(*ADVERTISED_COLUMNS))
 
 
 def unknown_area_loss(facts: DataFrame, area_types: Sequence[str] = AREA_TYPES) -> DataFrame:
     """Per area type, the rows a summary shows and the rows it leaves out."""
-    return (
-        by_area(facts, area_types, [])
-        .groupBy("type")
-        .agg(
-            F.count(F.lit(1)).alias("rows_in"),
-            F.count("area").alias("rows_shown"),
-            F.count_if(F.col("area").isNull()).alias("rows_lost"),
-        )
-    )
+    measures = {"rows_in": "count(*)", "rows_shown": "count(area)", "rows_lost": "count_if(area is null)"}
+    return aggregate_sql(by_area(facts, area_types, []), ["type"], measures)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liengrid.functions.numbers import money_mean, money_sum, pct
+from liengrid.operators.columns import aggregate_sql, names_sql, select_sql
 from liengrid.operators.matching import left_match
 from liengrid.operators.quantiles import grouped_medians
 
@@ -15,33 +16,29 @@ BIDDER = ["auction_year", "winning_bidder_name"]
 def bidder_summary(results: DataFrame, snapshot_year: int = 2020) -> DataFrame:
     """Bids won per year and bidder, before the snapshot year."""
     won = results.where(
-        (F.col("auction_year") != snapshot_year)
-        & (F.col("removed") == "N")
-        & F.col("winning_bidder_name").isNotNull()
+        f"auction_year <> {snapshot_year} and removed = 'N' and winning_bidder_name is not null"
     ).select(*BIDDER, "homestead", "winning_bid")
-    bid = F.col("winning_bid")
-    totals = won.groupBy(*BIDDER).agg(
-        F.count(F.lit(1)).alias("num_bids_won"),
-        F.count_if(F.col("homestead") == "Y").alias("num_homestead"),
-        money_mean(bid).alias("mean_winning_bid"),
-        F.coalesce(money_sum(bid), F.lit(0.0)).alias("sum_winning_bid_amount"),
+    totals = aggregate_sql(
+        won,
+        BIDDER,
+        {
+            "num_bids_won": "count(*)",
+            "num_homestead": "count_if(homestead = 'Y')",
+            "mean_winning_bid": money_mean("winning_bid"),
+            "sum_winning_bid_amount": f"coalesce({money_sum('winning_bid')}, 0D)",
+        },
     )
     medians = grouped_medians(won, BIDDER, {"median_winning_bid": "winning_bid"})
-    return (
-        left_match(totals, medians, BIDDER)
-        .withColumn("perc_homestead_properties", pct(F.col("num_homestead"), F.col("num_bids_won")))
-        .select(
+    summary = select_sql(
+        left_match(totals, medians, BIDDER),
+        names_sql(
             *BIDDER,
             "num_bids_won",
             "num_homestead",
             "mean_winning_bid",
             "median_winning_bid",
             "sum_winning_bid_amount",
-            "perc_homestead_properties",
-        )
-        .orderBy(
-            F.col("auction_year").asc_nulls_last(),
-            F.col("num_bids_won").desc_nulls_last(),
-            F.col("winning_bidder_name").asc_nulls_last(),
         )
+        | {"perc_homestead_properties": pct("num_homestead", "num_bids_won")},
     )
+    return summary.orderBy("auction_year", F.desc("num_bids_won"), "winning_bidder_name")

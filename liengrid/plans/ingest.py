@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from liengrid.functions.nulls import blank_to_null, yes_no
 from liengrid.functions.numbers import to_date, to_double, to_int
 from liengrid.functions.text import account_block, account_lot, snake_names, title_case
+from liengrid.operators.columns import select_sql, with_sql
 from liengrid.operators.matching import left_match
 
 INDEX_KEYS = ["tax_year", "auction_year", "auction_type"]
@@ -37,22 +37,22 @@ ADVERTISED_UPDATE_NAMES = {
 
 def clean_raw(raw: DataFrame, names: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """snake_case headers, release names, blanks as null; keep is left as it is."""
-    renamed = raw.toDF(*snake_names(raw.columns)).withColumnsRenamed(names)
-    return renamed.select(
-        *[F.col(c) if c in keep else blank_to_null(F.col(c)).alias(c) for c in renamed.columns]
-    )
+    headers = [names.get(header, header) for header in snake_names(raw.columns)]
+    cleaned = {c: c if c in keep else blank_to_null(f"`{c}`") for c in headers}
+    return select_sql(raw.toDF(*headers), cleaned)
 
 
-def _cast(df: DataFrame, integers: Sequence[str] = (), doubles: Sequence[str] = ()) -> dict[str, Column]:
-    casts = {c: to_int(F.col(c)) for c in integers if c in df.columns}
-    return casts | {c: to_double(F.col(c)) for c in doubles if c in df.columns}
+def _casts(df: DataFrame, integers: Sequence[str], doubles: Sequence[str]) -> dict[str, str]:
+    casts = {c: to_int(c) for c in integers if c in df.columns}
+    return casts | {c: to_double(c) for c in doubles if c in df.columns}
 
 
-def _removal(formats: Sequence[str]) -> dict[str, Column]:
+def _removal(formats: Sequence[str]) -> dict[str, str]:
+    """X8, X9, X3."""
     return {
-        "removed_because": title_case(F.col("removed_because")),
-        "removed": F.when(F.col("removed_because").isNotNull(), "Y").otherwise("N"),
-        "removed_date": to_date(F.col("removed_date"), formats),
+        "removed_because": title_case("removed_because"),
+        "removed": "if(removed_because is not null, 'Y', 'N')",
+        "removed_date": to_date("removed_date", formats),
     }
 
 
@@ -61,40 +61,34 @@ def type_history(
 ) -> DataFrame:
     """P7 for the yearly result files; the sale type comes from the source path."""
     text = clean_raw(raw, HISTORY_NAMES, keep=[path])
-    typed = text.withColumns(
-        _cast(
-            text,
-            ["adv_number", "tax_year", "num_ties", "num_bids"],
-            ["winning_bid", "winning_bid_premium", "winning_bidder_amt_due", "lien_amount", "assessed_value"],
-        )
-        | _removal(date_formats)
-        | {
-            "block": account_block(F.col("account_number")),
-            "lot": account_lot(F.col("account_number")),
-            "homestead": yes_no(F.col("homestead") == "1"),
-            "auction_type": F.when(F.col(path).contains("assignment"), "assignment_sale").when(
-                F.col(path).contains("certificate"), "certificate_sale"
-            ),
-        }
+    block, lot = account_block("account_number"), account_lot("account_number")
+    typed = _casts(
+        text,
+        ["adv_number", "tax_year", "num_ties", "num_bids"],
+        ["winning_bid", "winning_bid_premium", "winning_bidder_amt_due", "lien_amount", "assessed_value"],
     )
-    return typed.withColumns(
-        {"pin": F.concat("block", "lot"), "auction_year": F.col("tax_year") + 1}
-    ).drop(path)
+    derived = {
+        "block": block,
+        "lot": lot,
+        "pin": f"concat({block}, {lot})",
+        "homestead": yes_no("homestead = '1'"),
+        "auction_year": f"{typed['tax_year']} + 1",
+        "auction_type": f"""case when `{path}` like '%assignment%' then 'assignment_sale'
+            when `{path}` like '%certificate%' then 'certificate_sale' end""",
+    }
+    return with_sql(text, typed | _removal(date_formats) | derived).drop(path)
 
 
 def type_latest(raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """P7 for the single certificate sale report of the latest year."""
     text = clean_raw(raw, LATEST_NAMES)
-    typed = text.withColumns(
-        _cast(
-            text,
-            ["adv_number", "tax_year"],
-            ["lien_amount", "assessed_value", "winning_bid", "winning_bid_premium", "winning_bidder_amt_due"],
-        )
-        | _removal(date_formats)
-        | {"auction_type": F.lit("certificate_sale")}
+    typed = _casts(
+        text,
+        ["adv_number", "tax_year"],
+        ["lien_amount", "assessed_value", "winning_bid", "winning_bid_premium", "winning_bidder_amt_due"],
     )
-    return typed.withColumn("auction_year", F.col("tax_year") + 1)
+    derived = {"auction_type": "'certificate_sale'", "auction_year": f"{typed['tax_year']} + 1"}
+    return with_sql(text, typed | _removal(date_formats) | derived)
 
 
 def type_advertised(
@@ -102,13 +96,10 @@ def type_advertised(
 ) -> DataFrame:
     """P7 for a list of advertised properties; a list without numbers gets null ones."""
     text = clean_raw(raw, names)
-    typed = text.withColumns(
-        _cast(text, ["adv_number"], ["assessment", "lien_amount"])
-        | {"tax_year": F.lit(auction_year - 1), "auction_year": F.lit(auction_year)}
-    )
-    if "adv_number" not in typed.columns:
-        typed = typed.withColumn("adv_number", F.lit(None).cast("int"))
-    return typed
+    typed = _casts(text, ["adv_number"], ["assessment", "lien_amount"])
+    if "adv_number" not in text.columns:
+        typed["adv_number"] = "cast(null as int)"
+    return with_sql(text, typed | {"tax_year": str(auction_year - 1), "auction_year": str(auction_year)})
 
 
 def with_auction_index(results: DataFrame, index: DataFrame) -> DataFrame:

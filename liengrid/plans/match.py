@@ -11,10 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from liengrid.functions.geometry import centroid
-from liengrid.operators.keep_first import keep_first, locale_order
+from liengrid.operators.keep_first import keep_first, locale_order, nulls_last
 from liengrid.operators.matching import left_match
 
 PROPERTY_KEYS = ["block", "lot", "ward", "section"]
@@ -29,40 +28,44 @@ def with_centroid(parcels: DataFrame, geometry: str = "geometry") -> DataFrame:
     shape = geometry
     if not parcels.schema[geometry].dataType.simpleString().startswith("array<array<array<"):
         shape = f"if({geometry} is null, null, array({geometry}))"
-    return parcels.withColumn("_point", centroid(shape)).select(
-        *[c for c in parcels.columns if c != geometry], F.col("_point.x").alias("x"), F.col("_point.y").alias("y")
-    )
+    located = parcels.selectExpr(f"* except ({geometry})", f"{centroid(shape)} as _point")
+    return located.selectExpr("* except (_point)", "_point.x as x", "_point.y as y")
 
 
 def match_history(
     results: DataFrame, parcels: DataFrame, order: Sequence[str], parcel_order: Sequence[str] = PARCEL_ORDER
 ) -> DataFrame:
     """First row per (pin, auction_year) with the first parcel of its pin."""
-    facts = keep_first(results.drop("block", "lot"), ["pin", "auction_year"], order)
-    return left_match(facts, keep_first(with_centroid(parcels), ["pin"], parcel_order), ["pin"])
+    facts = keep_first(results.drop("block", "lot"), ["pin", "auction_year"], _ordered(order))
+    return left_match(facts, keep_first(with_centroid(parcels), ["pin"], _ordered(parcel_order)), ["pin"])
 
 
 def match_latest(
     results: DataFrame, parcels: DataFrame, order: Sequence[str], parcel_order: Sequence[str] = PARCEL_ORDER
 ) -> DataFrame:
     """First row per adv_number, where a row with a known csa comes first."""
+    by_csa = locale_order("csa")
     best_parcel = keep_first(
-        with_centroid(parcels.drop("section")), LATEST_KEYS, [locale_order("csa"), *parcel_order]
+        with_centroid(parcels.drop("section")), LATEST_KEYS, [by_csa, *_ordered(parcel_order)]
     )
-    facts = keep_first(results, ["adv_number", *LATEST_KEYS], order)
+    facts = keep_first(results, ["adv_number", *LATEST_KEYS], _ordered(order))
     matched = left_match(facts, best_parcel, LATEST_KEYS)
-    return keep_first(matched, ["adv_number"], [locale_order("csa"), *order])
+    return keep_first(matched, ["adv_number"], [by_csa, *_ordered([*order, *LATEST_KEYS])])
 
 
 def match_advertised(
     advertised: DataFrame, parcels: DataFrame, order: Sequence[str], parcel_order: Sequence[str] = PARCEL_ORDER
 ) -> DataFrame:
     """First row per (block, lot, ward, section) with the first such parcel."""
-    facts = keep_first(advertised, PROPERTY_KEYS, order)
-    return left_match(facts, keep_first(with_centroid(parcels), PROPERTY_KEYS, parcel_order), PROPERTY_KEYS)
+    facts = keep_first(advertised, PROPERTY_KEYS, _ordered(order))
+    first_parcel = keep_first(with_centroid(parcels), PROPERTY_KEYS, _ordered(parcel_order))
+    return left_match(facts, first_parcel, PROPERTY_KEYS)
 
 
 def combine_results(history: DataFrame, latest: DataFrame) -> DataFrame:
     """Certificate sales of the earlier years and the latest results, stacked by name."""
-    certificates = history.where(F.col("auction_type") == "certificate_sale")
-    return certificates.unionByName(latest, allowMissingColumns=True)
+    return history.where("auction_type = 'certificate_sale'").unionByName(latest, allowMissingColumns=True)
+
+
+def _ordered(names: Sequence[str]) -> list[str]:
+    return [nulls_last(name) for name in names]

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liengrid.functions.numbers import money_mean, money_sum, pct, to_double
 from liengrid.functions.nulls import strict
+from liengrid.functions.numbers import money_mean, money_sum, pct, to_cents, to_double
+from liengrid.operators.columns import aggregate_sql, names_sql, select_sql, with_sql
 from liengrid.operators.grid import by_area
 from liengrid.operators.matching import left_match
 from liengrid.operators.quantiles import fits_broadcast, grouped_medians
-from liengrid.plans.area_summary import is_homeowner
+from liengrid.plans.area_summary import IS_HOMEOWNER
 
 # The order of the stacked blocks and the label of each.
 TYPE_LABELS = {"council_district": "council district", "csa": "csa", "neighborhood": "neighborhood"}
@@ -25,76 +24,67 @@ def match_quality(advertised: DataFrame, counts: DataFrame | None = None) -> Dat
     advertised is the list matched to parcels. counts, the area_property_count table,
     only serves to check that there are few areas.
     """
-    inputs = ["objectid", *VALUES, "vacind", "no_imprv", "occupied"]
-    as_numbers = {c: to_double(F.col(c).cast("string")) for c in VALUES}
-    facts = by_area(advertised.withColumns(as_numbers), list(TYPE_LABELS), inputs)
+    text = [c for c, kind in advertised.dtypes if c in VALUES and kind == "string"]
+    numbers = with_sql(advertised, {c: to_double(c) for c in text}) if text else advertised
+    facts = by_area(numbers, list(TYPE_LABELS), ["objectid", *VALUES, "vacind", "no_imprv", "occupied"])
     keys = ["type", "area"]
-
-    complete = [F.count(c).alias(f"_{c}s") for c in VALUES]
-    means = [strict(money_mean(F.col(c)), F.col(c)).alias(f"mean_{c}") for c in VALUES]
-    sums = [strict(money_sum(F.col(c)), F.col(c)).alias(f"sum_{c}") for c in VALUES]
-    totals = facts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_properties"),
-        F.count("objectid").alias("num_matched"),
-        F.count_if(F.col("objectid").isNull()).alias("num_unmatched"),
-        F.count_if(F.col("vacind") == "Y").alias("num_vacant"),
-        F.count_if(F.col("no_imprv") == "Y").alias("num_vacant_lot"),
-        F.count_if(is_homeowner()).alias("num_owner_occupied"),
-        *complete,
-        *means,
-        *sums,
+    totals = aggregate_sql(
+        facts,
+        keys,
+        {
+            "num_properties": "count(*)",
+            "num_matched": "count(objectid)",
+            "num_unmatched": "count_if(objectid is null)",
+            "num_vacant": "count_if(vacind = 'Y')",
+            "num_vacant_lot": "count_if(no_imprv = 'Y')",
+            "num_owner_occupied": f"count_if({IS_HOMEOWNER})",
+        }
+        | {f"_{c}s": f"count({c})" for c in VALUES}
+        | {f"mean_{c}": strict(money_mean(c), c) for c in VALUES}
+        | {f"sum_{c}": strict(money_sum(c), c) for c in VALUES},
     )
     few = counts is not None and fits_broadcast(counts)
     medians = grouped_medians(facts, keys, {f"median_{c}": c for c in VALUES}, few)
-    whole = F.col("num_properties")
-    share = lambda part, of: pct(F.col(part), F.col(of))
-    summary = left_match(totals, medians, keys).withColumns(
-        {f"median_{c}": F.when(F.col(f"_{c}s") == whole, F.col(f"median_{c}")) for c in VALUES}
-        | {
-            "perc_unmatched": share("num_unmatched", "num_properties"),
-            "perc_matched": share("num_matched", "num_properties"),
-            "perc_vacant": share("num_vacant", "num_matched"),
-            "perc_vacant_lot": share("num_vacant_lot", "num_matched"),
-            "perc_owner_occupied": share("num_owner_occupied", "num_properties"),
-        }
-    )
-    label = F.create_map(*[F.lit(v) for pair in TYPE_LABELS.items() for v in pair])
-    return summary.select(
-        F.col("area").alias("area_name"),
-        "num_properties",
-        "num_matched",
-        "num_unmatched",
-        "perc_unmatched",
-        "perc_matched",
-        *[f"{kind}_{c}" for c in VALUES for kind in ("mean", "median", "sum")],
-        "num_vacant",
-        "perc_vacant",
-        "num_vacant_lot",
-        "perc_vacant_lot",
-        "num_owner_occupied",
-        "perc_owner_occupied",
-        label[F.col("type")].alias("type"),
-    )
+    labels = " ".join(f"when '{name}' then '{label}'" for name, label in TYPE_LABELS.items())
+    columns = {
+        "area_name": "area",
+        **names_sql("num_properties", "num_matched", "num_unmatched"),
+        "perc_unmatched": pct("num_unmatched", "num_properties"),
+        "perc_matched": pct("num_matched", "num_properties"),
+    }
+    for c in VALUES:
+        columns |= names_sql(f"mean_{c}")
+        columns[f"median_{c}"] = f"if(_{c}s = num_properties, median_{c}, null)"
+        columns |= names_sql(f"sum_{c}")
+    columns |= {
+        "num_vacant": "num_vacant",
+        "perc_vacant": pct("num_vacant", "num_matched"),
+        "num_vacant_lot": "num_vacant_lot",
+        "perc_vacant_lot": pct("num_vacant_lot", "num_matched"),
+        "num_owner_occupied": "num_owner_occupied",
+        "perc_owner_occupied": pct("num_owner_occupied", "num_properties"),
+        "type": f"case type {labels} end",
+    }
+    return select_sql(left_match(totals, medians, keys), columns)
 
 
 def drop_range(df: DataFrame, first: str, last: str) -> DataFrame:
     """Drops the columns from first to last, as they stand in the table."""
-    names: Sequence[str] = df.columns
+    names = df.columns
     return df.drop(*names[names.index(first) : names.index(last) + 1])
 
 
+def _printed(name: str) -> str:
+    if name.startswith(("mean_", "median_", "sum_")):
+        cents = to_cents(name)
+        return f"concat(if({cents} < 0, '-$', '$'), format_number(abs({cents}), 2))"
+    if name.startswith("perc_"):
+        return f"concat(format_number({name}, 2), '%')"
+    return name
+
+
 def area_report(summary: DataFrame) -> DataFrame:
     """R2: the match-quality table as printed, money and shares as text, by type and area."""
     table = drop_range(summary, "num_matched", "perc_matched")
-
-    def shown(name: str):
-        column = F.col(name)
-        if name.startswith(("mean_", "median_", "sum_")):
-            sign = F.when(F.bround(column, 2) < 0, "-$").otherwise("$")
-            return F.concat(sign, F.format_number(F.abs(column), 2)).alias(name)
-        if name.startswith("perc_"):
-            return F.concat(F.format_number(column, 2), F.lit("%")).alias(name)
-        return column
-
-    order = [F.col("type"), F.collate("area_name", "UNICODE").asc_nulls_last()]
-    return table.select(*[shown(c) for c in table.columns]).orderBy(*order)
+    printed = select_sql(table, {name: _printed(name) for name in table.columns})
+    return printed.orderBy("type", F.expr("collate(area_name, 'UNICODE')").asc_nulls_last())

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from liengrid.functions.numbers import pct
 from liengrid.operators.binning import equal_count_bins
+from liengrid.operators.columns import aggregate_sql, select_sql, with_sql
 from liengrid.operators.grid import by_area
-from liengrid.plans.area_summary import is_homeowner, occupancy_measures
+from liengrid.operators.matching import left_match
+from liengrid.plans.area_summary import IS_HOMEOWNER, occupancy_measures
 
 DISTRICT_ORDER = [str(number) for number in range(1, 15)]
 
@@ -30,10 +32,9 @@ DISTRICT_LABELS = {
 MAP_MEASURES = ["num_advertised", "num_owner_occupied_not_vacant", "perc_properties_area"]
 
 
-def removed_after(deadline_month: int, deadline_day: int):
+def removed_after(month: int, day: int) -> str:
     """Rows removed after the deadline of their auction year."""
-    deadline = F.make_date(F.col("auction_year"), F.lit(deadline_month), F.lit(deadline_day))
-    return F.count_if((F.col("removed") == "Y") & (F.col("removed_date") > deadline))
+    return f"count_if(removed = 'Y' and removed_date > make_date(auction_year, {month}, {day}))"
 
 
 def removed_after_deadline(
@@ -41,10 +42,8 @@ def removed_after_deadline(
 ) -> DataFrame:
     """A17 for every area and year that occurs."""
     facts = by_area(results, area_types, ["auction_year", "removed", "removed_date"])
-    return facts.groupBy("type", "area", "auction_year").agg(
-        F.count(F.lit(1)).alias("num_advertised"),
-        removed_after(month, day).alias("num_removed_after_deadline"),
-    )
+    measures = {"num_advertised": "count(*)", "num_removed_after_deadline": removed_after(month, day)}
+    return aggregate_sql(facts, ["type", "area", "auction_year"], measures)
 
 
 def district_report(
@@ -59,57 +58,45 @@ def district_report(
 
     Listed districts come first in the given order, others after them by name.
     """
-    table = (
-        results.where(F.col("auction_year") == snapshot_year)
-        .groupBy(F.col(area).alias("id"))
-        .agg(
-            F.count(F.lit(1)).alias("num_properties"),
-            F.count_if(F.col("removed") == "Y").alias("removed_properties"),
-            F.count_if(F.col("removed") == "N").alias("scheduled_properties"),
-            removed_after(*deadline).alias("properties_removed_after_original_deadline"),
-            *occupancy_measures(snapshot_year)[:2],
-        )
-        .withColumns(
-            {
-                "perc_removed": pct(F.col("removed_properties"), F.col("num_properties")),
-                "perc_owner_occupied": pct(F.col("num_owner_occupied"), F.col("num_properties")),
-                "perc_owner_occupied_removed": pct(
-                    F.col("num_owner_occupied_removed"), F.col("num_owner_occupied")
-                ),
-            }
-        )
-    )
-    place = F.array_position(F.array(*[F.lit(v) for v in order]), F.col("id"))
-    ordered = table.orderBy(
-        F.when(place > 0, place).asc_nulls_last(), F.collate("id", "UNICODE").asc_nulls_last()
-    )
-    return ordered.select(
-        *[F.col(name).alias(label if labels else name) for name, label in DISTRICT_LABELS.items()]
+    occupancy = occupancy_measures(snapshot_year)
+    table = aggregate_sql(
+        results.where(f"auction_year = {snapshot_year}").withColumnRenamed(area, "id"),
+        ["id"],
+        {
+            "num_properties": "count(*)",
+            "removed_properties": "count_if(removed = 'Y')",
+            "scheduled_properties": "count_if(removed = 'N')",
+            "properties_removed_after_original_deadline": removed_after(*deadline),
+            "num_owner_occupied": occupancy["num_owner_occupied"],
+            "num_owner_occupied_removed": occupancy["num_owner_occupied_removed"],
+        },
     )
+    shares = {
+        "perc_removed": pct("removed_properties", "num_properties"),
+        "perc_owner_occupied": pct("num_owner_occupied", "num_properties"),
+        "perc_owner_occupied_removed": pct("num_owner_occupied_removed", "num_owner_occupied"),
+    }
+    listed = ", ".join(f"'{name}'" for name in order)
+    place = F.expr(f"nullif(array_position(array({listed}), id), 0)").asc_nulls_last()
+    ordered = with_sql(table, shares).orderBy(place, F.expr("collate(id, 'UNICODE')").asc_nulls_last())
+    return select_sql(ordered, {label if labels else name: name for name, label in DISTRICT_LABELS.items()})
 
 
 def choropleth_layer(
     boundaries: DataFrame, summary: DataFrame, measures: Sequence[str] = MAP_MEASURES
 ) -> DataFrame:
     """Every boundary with the measures of the area of the same name."""
-    on = F.col("b.name").eqNullSafe(F.col("s.area"))
-    return (
-        boundaries.alias("b")
-        .join(summary.select("area", *measures).alias("s"), on, "left")
-        .select("b.*", *[F.col(f"s.{m}") for m in measures])
-    )
+    named = summary.select(F.col("area").alias("name"), *measures)
+    return left_match(boundaries, named, ["name"])
 
 
 def homeowner_lien_bins(advertised: DataFrame, bins: int = 5) -> DataFrame:
     """B2: occupied, improved, not vacant homes of owners, binned by lien in thousands."""
-    homes = advertised.where(
-        is_homeowner() & (F.col("vacind") == "N") & (F.col("no_imprv") == "N")
-    ).withColumn("lien_thousands", F.col("lien_amount") / 1000)
-    return equal_count_bins(homes, "lien_thousands", bins, "lien_bin")
+    homes = advertised.where(f"{IS_HOMEOWNER} and vacind = 'N' and no_imprv = 'N'")
+    in_thousands = with_sql(homes, {"lien_thousands": "lien_amount / 1000"})
+    return equal_count_bins(in_thousands, "lien_thousands", bins, "lien_bin")
 
 
 def lien_bin_counts(binned: DataFrame) -> DataFrame:
     """Rows per bin."""
-    return binned.groupBy("lien_bin", "lien_bin_low", "lien_bin_high").agg(
-        F.count(F.lit(1)).alias("num_properties")
-    )
+    return aggregate_sql(binned, ["lien_bin", "lien_bin_low", "lien_bin_high"], {"num_properties": "count(*)"})

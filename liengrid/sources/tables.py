@@ -53,7 +53,7 @@ def read_parcels(spark: SparkSession, path: str, projection: LambertConic | None
     """Parcel attributes and polygon rings, optionally projected from degrees."""
     parcels = spark.read.parquet(path).select(*PARCEL_COLUMNS, "geometry")
     if projection is not None:
-        parcels = parcels.withColumn("geometry", projection.forward_rings(F.col("geometry")))
+        parcels = parcels.withColumn("geometry", F.expr(projection.forward_rings("geometry")))
     return parcels
 
 

@@ -144,14 +144,17 @@ def _sum(column: str) -> str:
     return EXACT_SUM.format(column=column)
 
 
+def _half_even(total: str, rows: str) -> str:
+    """total / rows as a whole number, ties to even, where both are whole numbers."""
+    low, twice_rest = f"(({total}) // ({rows}))", f"(2 * (({total}) % ({rows})))"
+    up = f"case when {twice_rest} > {rows} or ({twice_rest} = {rows} and {low} % 2 = 1) then 1 else 0 end"
+    return f"({low} + {up})"
+
+
 def _mean_2(column: str, units: int) -> str:
-    """Mean with two digits, half to even, in whole numbers; units per 1, e.g. 100 cents."""
+    """Mean with two digits; units per 1, e.g. 100 cents."""
     total = f"sum(cast(round({column} * {units}) as hugeint)) * {100 // units}"
-    rows = f"nullif(count({column}), 0)"
-    low = f"(({total}) // {rows})"
-    twice_rest = f"(2 * (({total}) % {rows}))"
-    up = f"case when {twice_rest} > {rows} or ({twice_rest} = {rows} and {low} % 2 = 1) then 1 else 0 end"
-    return f"(({low} + {up}) / 100)"
+    return f"({_half_even(total, f'nullif(count({column}), 0)')} / 100)"
 
 
 def _strict(column: str, aggregate: str) -> str:
@@ -343,38 +346,58 @@ def _advertised_typed() -> str:
         select cast(null as integer) as adv_number, {shared} from lineitem"""
 
 
-def _match_quality(text: bool) -> str:
-    blocks = []
-    for area, label in [("council_district", "council district"), ("csa", "csa"), ("neighborhood", "neighborhood")]:
-        values = ", ".join(
-            f"""{_strict(c, f'{_sum(c)} / count({c})')} as mean_{c},
-                {_strict(c, f'round(median({c}), 3)')} as median_{c},
-                {_strict(c, _sum(c))} as sum_{c}"""
-            for c in ("assessment", "lien_amount")
-        )
-        matched = "count(objectid)"
-        vacant, lot = _count("vacind = 'Y'"), _count("no_imprv = 'Y'")
-        owner = _count("occupied in ('H', 'D')")
-        unmatched = _count("objectid is null")
-        blocks.append(f"""
-            select {area} as area_name, cast(count(*) as bigint) as num_properties,
-                cast({matched} as bigint) as num_matched, {unmatched} as num_unmatched,
-                {_share(unmatched, 'count(*)')} as perc_unmatched, {_share(matched, 'count(*)')} as perc_matched,
-                {values},
-                {vacant} as num_vacant, {_share(vacant, matched)} as perc_vacant,
-                {lot} as num_vacant_lot, {_share(lot, matched)} as perc_vacant_lot,
-                {owner} as num_owner_occupied, {_share(owner, 'count(*)')} as perc_owner_occupied,
-                '{label}' as type
-            from advertised_kept group by {area}""")
-    quality = " union all ".join(blocks)
-    if not text:
-        return _query(quality, "advertised_kept")
-    money = [f"{kind}_{c}" for c in ("assessment", "lien_amount") for kind in ("mean", "median", "sum")]
+def _quality_block(area: str, label: str, values: str) -> str:
+    matched, unmatched = "count(objectid)", _count("objectid is null")
+    vacant, lot = _count("vacind = 'Y'"), _count("no_imprv = 'Y'")
+    owner = _count("occupied in ('H', 'D')")
+    return f"""
+        select {area} as area_name, cast(count(*) as bigint) as num_properties,
+            cast({matched} as bigint) as num_matched, {unmatched} as num_unmatched,
+            {_share(unmatched, 'count(*)')} as perc_unmatched, {_share(matched, 'count(*)')} as perc_matched,
+            {values},
+            {vacant} as num_vacant, {_share(vacant, matched)} as perc_vacant,
+            {lot} as num_vacant_lot, {_share(lot, matched)} as perc_vacant_lot,
+            {owner} as num_owner_occupied, {_share(owner, 'count(*)')} as perc_owner_occupied,
+            '{label}' as type
+        from advertised_kept group by {area}"""
+
+
+def _match_quality(measures: dict[str, str], body: str = "select * from quality") -> str:
+    """measures: output prefix to an aggregate with {c} for the column and {n} for the row count."""
+    values = ", ".join(
+        f"{_strict(c, sql.format(c=c))} as {kind}_{c}"
+        for c in ("assessment", "lien_amount")
+        for kind, sql in measures.items()
+    )
+    labels = {"council_district": "council district", "csa": "csa", "neighborhood": "neighborhood"}
+    quality = " union all ".join(_quality_block(area, label, values) for area, label in labels.items())
+    return _query(body, "advertised_kept", extra={"quality": quality})
+
+
+def _quality_numbers() -> str:
+    total = EXACT_SUM.format(column="{c}")
+    return _match_quality(
+        {"mean": total + " / count({c})", "median": "round(median({c}), 3)", "sum": total}
+    )
+
+
+def _quality_texts() -> str:
+    """Money in whole cents, printed as text."""
+    cents = "sum(cast(round({c} * 100) as hugeint))"
+    measures = {
+        "mean": _half_even(cents, "count({c})"),
+        "median": _half_even("cast(round(median({c}) * 1000) as hugeint)", "10"),
+        "sum": cents,
+    }
     shown = ["area_name", "num_properties"]
-    shown += [f"'$' || format('{{:,.2f}}', {c}) as {c}" for c in money]
+    shown += [
+        f"'$' || format('{{:,.2f}}', cast({kind}_{c} as double) / 100) as {kind}_{c}"
+        for c in ("assessment", "lien_amount")
+        for kind in measures
+    ]
     for share in ("vacant", "vacant_lot", "owner_occupied"):
         shown += [f"num_{share}", f"format('{{:.2f}}', perc_{share}) || '%' as perc_{share}"]
-    return _query(f"select {', '.join(shown)}, type from quality", "advertised_kept", extra={"quality": quality})
+    return _match_quality(measures, f"select {', '.join(shown)}, type from quality")
 
 
 def _audit() -> str:
@@ -581,8 +604,8 @@ def oracle_sql() -> dict[str, str]:
             "combined",
         ),
         "bidder_summary": _bidder_summary(),
-        "match_quality": _match_quality(text=False),
-        "area_report": _match_quality(text=True),
+        "match_quality": _quality_numbers(),
+        "area_report": _quality_texts(),
         "match_audit": _audit(),
         "removed_after_deadline": _deadline(),
         "choropleth_input": _choropleth(),

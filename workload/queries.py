@@ -6,10 +6,10 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from liengrid.functions.geometry import EPSG_2804
 from liengrid.functions.text import account_block, account_lot
+from liengrid.operators.columns import with_sql
 from liengrid.operators.grid import area_property_count, area_year_grid
 from liengrid.operators.matching import match_audit
 from liengrid.plans.area_summary import (
@@ -49,12 +49,13 @@ from workload import tables as t
 
 AREAS = {"district": "council_district", "csa": "csa", "neighborhood": "neighborhood"}
 SHOWN_FACT = ["adv_number", "auction_year", "auction_type", "removed", "lien_amount"]
+CENTRE = ["round(x, 6) as x", "round(y, 6) as y"]
 SHOWN_PARCEL = ["objectid", "owner_1", "neighborhood", "csa", "council_district"]
 
 
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     """Rounds values that two engines may interpolate with a different last bit."""
-    return df.withColumns({name: F.round(name, digits) for name in names})
+    return with_sql(df, {name: f"round({name}, {digits})" for name in names})
 
 
 def matched_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,13 +153,10 @@ def q_advertised_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_account_to_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    account = F.col("account_number")
-    accounts = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        "c_custkey", F.expr(t.account_number("c_custkey")).alias("account_number")
-    )
-    return accounts.withColumns({"block": account_block(account), "lot": account_lot(account)}).withColumn(
-        "pin", F.concat("block", "lot")
-    )
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    accounts = customer.selectExpr("c_custkey", f"{t.account_number('c_custkey')} as account_number")
+    parts = {"block": account_block("account_number"), "lot": account_lot("account_number")}
+    return with_sql(with_sql(accounts, parts), {"pin": "concat(block, lot)"})
 
 
 def q_results_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +167,7 @@ def q_results_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(matched: DataFrame, *keys: str) -> DataFrame:
-    centre = [F.round("x", 6).alias("x"), F.round("y", 6).alias("y")]
-    return matched.select(*keys, *SHOWN_FACT, *SHOWN_PARCEL, *centre)
+    return matched.selectExpr(*keys, *SHOWN_FACT, *SHOWN_PARCEL, *CENTRE)
 
 
 def q_results_matched_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +233,7 @@ def q_match_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
             t.advertised(spark, sf_dir), t.parcels(spark, sf_dir), PROPERTY_KEYS, PROPERTY_KEYS
         ),
     }
-    named = [audit.withColumn("match", F.lit(name)) for name, audit in audits.items()]
+    named = [audit.selectExpr("*", f"'{name}' as match") for name, audit in audits.items()]
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
@@ -255,14 +252,8 @@ def _lien_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lien_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lien_bins(spark, sf_dir).select(
-        *PROPERTY_KEYS,
-        "lien_amount",
-        "lien_bin",
-        "lien_bin_low",
-        "lien_bin_high",
-        F.round("x", 6).alias("x"),
-        F.round("y", 6).alias("y"),
+    return _lien_bins(spark, sf_dir).selectExpr(
+        *PROPERTY_KEYS, "lien_amount", "lien_bin", "lien_bin_low", "lien_bin_high", *CENTRE
     )
 
 
@@ -280,18 +271,12 @@ def q_unknown_area_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_parcel_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_centroid(t.parcels(spark, sf_dir)).select(
-        "objectid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")
-    )
+    return with_centroid(t.parcels(spark, sf_dir)).selectExpr("objectid", *CENTRE)
 
 
 def q_reproject_lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    point = EPSG_2804.forward(F.col("lon"), F.col("lat"))
-    return (
-        t.degrees(spark, sf_dir)
-        .withColumn("point", point)
-        .select("objectid", F.round("point.x", 3).alias("x"), F.round("point.y", 3).alias("y"))
-    )
+    points = with_sql(t.degrees(spark, sf_dir), {"point": EPSG_2804.forward("lon", "lat")})
+    return points.selectExpr("objectid", "round(point.x, 3) as x", "round(point.y, 3) as y")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liengrid.operators.columns import aggregate_sql, select_sql
+
 FIRST_YEAR = 1995
 PRE_YEAR = 2000
 SNAPSHOT_YEAR = 2001
@@ -25,10 +27,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return df.selectExpr(*[f"{sql} as `{name}`" for name, sql in columns.items()])
-
-
 def _point(x: str, y: str) -> str:
     return f"named_struct('x', cast({x} as double), 'y', cast({y} as double))"
 
@@ -85,7 +83,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tract": "string(c_custkey % 200)",
         "geometry": _lot_shape("c_custkey"),
     }
-    return _select(placed, columns)
+    return select_sql(placed, columns)
 
 
 def parcels_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +118,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "homestead": "case o_orderkey % 3 when 0 then 'Y' when 1 then 'N' end",
         "owner_occupied": "case when o_orderkey % 4 = 0 then '1' when o_orderkey % 4 < 3 then '0' end",
     }
-    return _select(_read(spark, sf_dir, "orders"), columns)
+    return select_sql(_read(spark, sf_dir, "orders"), columns)
 
 
 def history(results: DataFrame) -> DataFrame:
@@ -153,7 +151,7 @@ def advertised(spark: SparkSession, sf_dir: str) -> DataFrame:
         "occupied": """case when l_linenumber = 7 then null when l_returnflag = 'A' then 'D'
             when l_returnflag = 'R' then 'H' else 'N' end""",
     }
-    return _select(lines, columns)
+    return select_sql(lines, columns)
 
 
 def sale_index(spark: SparkSession) -> DataFrame:
@@ -168,7 +166,7 @@ def sale_index(spark: SparkSession) -> DataFrame:
         "auction_label": "concat(year, ' ', initcap(kind), ' Sale')",
         "auction_date": "make_date(year, 5, 13)",
     }
-    return _select(sales, columns)
+    return select_sql(sales, columns)
 
 
 def account_number(key: str) -> str:
@@ -220,7 +218,7 @@ def raw_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Assessed Value": _money("o_totalprice * 10"),
         "Winning Bidder Name": _if_sold(_padded("concat('B', o_custkey % 97)")),
     }
-    return _select(_read(spark, sf_dir, "orders"), columns)
+    return select_sql(_read(spark, sf_dir, "orders"), columns)
 
 
 def raw_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +242,7 @@ def raw_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Removed Date": _if_removed("date_format(o_orderdate, 'M/d/yyyy')", "'NA'"),
         "Owner Occupied": "case when o_orderkey % 4 = 0 then '1' when o_orderkey % 4 < 3 then '0' end",
     }
-    return _select(_read(spark, sf_dir, "orders").where(f"year(o_orderdate) = {SNAPSHOT_YEAR}"), columns)
+    return select_sql(_read(spark, sf_dir, "orders").where(f"year(o_orderdate) = {SNAPSHOT_YEAR}"), columns)
 
 
 def _raw_list(spark: SparkSession, sf_dir: str, names: dict[str, str]) -> DataFrame:
@@ -261,7 +259,7 @@ def _raw_list(spark: SparkSession, sf_dir: str, names: dict[str, str]) -> DataFr
         "lien": f"if(l_linenumber = 6, 'pending', {_money('l_extendedprice')})",
         "occupied": "case when l_linenumber = 7 then '' when l_returnflag = 'A' then 'D' else 'N' end",
     }
-    return _select(_read(spark, sf_dir, "lineitem"), {header: columns[c] for header, c in names.items()})
+    return select_sql(_read(spark, sf_dir, "lineitem"), {header: columns[c] for header, c in names.items()})
 
 
 def raw_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,11 +296,10 @@ def raw_list_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rectangle around the lots of every district; one name has no summary."""
     x, y = "c_custkey % 1000 * 10", "c_custkey div 1000 * 10"
-    boxes = (
-        _read(spark, sf_dir, "customer")
-        .selectExpr("c_mktsegment as name", f"{x} as x", f"{y} as y")
-        .groupBy("name")
-        .agg(F.expr("min(x) as x"), F.expr("max(x) + 8 - min(x) as w"), F.expr("min(y) as y"), F.expr("max(y) + 6 - min(y) as h"))
+    boxes = aggregate_sql(
+        _read(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "name"),
+        ["name"],
+        {"x": f"min({x})", "w": f"max({x}) + 8 - min({x})", "y": f"min({y})", "h": f"max({y}) + 6 - min({y})"},
     )
     return boxes.selectExpr(
         "if(name = 'BUILDING', 'BUILDING (OLD)', name) as name",
@@ -317,4 +314,4 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lon": "-76.75D + c_custkey % 1000 * 0.0003D",
         "lat": "39.2D + c_custkey % 777 * 0.0002D",
     }
-    return _select(_read(spark, sf_dir, "customer"), columns)
+    return select_sql(_read(spark, sf_dir, "customer"), columns)
