@@ -23,5 +23,5 @@ def equal_count_bins(df: DataFrame, column: str, bins: int, prefix: str) -> Data
     return found.selectExpr(
         "* except (_breaks)",
         f"get(_breaks, `{prefix}` - 1) as `{prefix}_low`",
-        f"get(_breaks, least(`{prefix}`, size(_breaks) - 1)) as `{prefix}_high`",
+        f"if(`{prefix}` is null, null, get(_breaks, least(`{prefix}`, size(_breaks) - 1))) as `{prefix}_high`",
     )

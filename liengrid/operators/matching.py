@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from liengrid.operators.columns import aggregate_sql
 
+KEY = "_key"
+
 
 def same_keys(keys: Sequence[str], left: str = "l", right: str = "r") -> str:
     """Equality of all keys with null equal to null; Spark still plans an equi-join."""
@@ -25,6 +27,24 @@ def left_match(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: s
     return joined.selectExpr("l.*", *attributes)
 
 
+def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The key columns packed into one struct column, which is never null itself.
+
+    Structs with a null in the same field are equal, so a plain equality of such columns
+    follows N1, and a table that is already grouped by the column is not shuffled again.
+    """
+    packed = ", ".join(f"`{key}`" for key in keys)
+    return df.selectExpr(f"* except ({packed})", f"struct({packed}) as {KEY}")
+
+
+def left_match_first(left: DataFrame, right: DataFrame, suffix: str = "_right") -> DataFrame:
+    """Left join of two tables from with_key; the key columns come back in front."""
+    taken = set(left.columns)
+    attributes = [f"r.`{c}` as `{c + suffix if c in taken else c}`" for c in right.columns if c != KEY]
+    joined = left.alias("l").join(right.alias("r"), F.expr(f"l.{KEY} = r.{KEY}"), "left")
+    return joined.selectExpr(f"l.{KEY}.*", f"l.* except ({KEY})", *attributes)
+
+
 def match_audit(
     facts: DataFrame, parcels: DataFrame, keys: Sequence[str], kept_keys: Sequence[str]
 ) -> DataFrame:

@@ -18,21 +18,12 @@ from pyspark.sql import functions as F
 from liengrid.operators.columns import aggregate_sql, names_sql, select_sql
 
 BUCKETS_PER_E_FOLD = 1000
-# A group asks for at most two positions per fraction, so the rows broadcast below are
-# groups x columns x fractions x 2 of about 100 bytes each.
-MAX_BROADCAST_GROUPS = 50_000
-
 MEDIAN = (1, 2)
 
 # A whole number that never falls as the value rises, in steps of 0.1 percent.
 _BUCKET = f"cast(sign(_value) * floor(ln(1 + abs(_value)) * {BUCKETS_PER_E_FOLD}) as bigint)"
 
 
-def fits_broadcast(groups: DataFrame, max_rows: int = MAX_BROADCAST_GROUPS) -> bool:
-    """Whether a table of groups is small; stops counting at the limit."""
-    return groups.limit(max_rows + 1).count() <= max_rows
-
-
 def _position(fraction: tuple[int, int]) -> tuple[str, str, str]:
     """Lower and upper 0-based rank of a quantile and the weight of the upper one.
 
@@ -67,8 +58,9 @@ def grouped_quantiles(
 
     Returns keys plus, per column, an array with one value per fraction (part, whole).
     A group whose values are all null has no row. few_groups says that the number of
-    groups has been checked with fits_broadcast: the wanted buckets are then broadcast
-    and df is read a second time, instead of shuffling every value.
+    groups has been checked, see small_table: the wanted buckets, at most two rows of
+    about 100 bytes per group, column and fraction, are then broadcast and df is read a
+    second time, instead of shuffling every value.
     """
     group = [*keys, "_column"]
     by_group = ", ".join(f"`{name}`" for name in group)

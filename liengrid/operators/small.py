@@ -1,0 +1,19 @@
+"""Tables that may be small enough to sit on the driver and on every executor."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+MAX_ROWS = 50_000
+
+
+def small_table(df: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, bool]:
+    """A table and whether it is small.
+
+    At most max_rows + 1 rows are fetched. A small table comes back as a local one, so
+    that it is computed once however often it is used; a larger one comes back as it is.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return df, False
+    return df.sparkSession.createDataFrame(head, schema=df.schema), True

@@ -16,7 +16,8 @@ from liengrid.functions.nulls import count_distinct_with_null, is_one_of, strict
 from liengrid.functions.numbers import money_mean, money_sum, pct, to_cents
 from liengrid.operators.columns import aggregate_sql, with_sql
 from liengrid.operators.grid import AREA_TYPES, UNKNOWN, area_year_grid, by_area
-from liengrid.operators.quantiles import fits_broadcast, grouped_medians
+from liengrid.operators.quantiles import grouped_medians
+from liengrid.operators.small import small_table
 
 CELL = ["type", "area", "auction_year"]
 
@@ -211,7 +212,7 @@ def summarise_by_area(
     counts is the area_property_count table. Results without an area are left out, as
     the published tables do (N17), unless keep_unmatched puts them under Unknown.
     """
-    grid = area_year_grid(_areas_of(counts, area_types), years)
+    grid, few_cells = small_table(area_year_grid(_areas_of(counts, area_types), years))
     cells = area_year_cells(
         results,
         area_types,
@@ -219,8 +220,8 @@ def summarise_by_area(
         snapshot_year,
         bid_measures,
         keep_unmatched,
-        few_cells=median_accuracy is None and fits_broadcast(grid),
-        median_accuracy=median_accuracy,
+        few_cells,
+        median_accuracy,
     )
     dense = with_sql(
         _densify(grid, cells, CELL),
@@ -261,14 +262,14 @@ def summarise_advertised(
 ) -> DataFrame:
     """Summary of an advertised list on the area grid, for one or more area types."""
     keys = ["type", "area"]
-    areas = _areas_of(counts, area_types)
+    areas, few_areas = small_table(_areas_of(counts, area_types))
     facts = by_area(advertised, area_types, ADVERTISED_INPUTS)
     facts = facts.fillna({"area": UNKNOWN}) if keep_unmatched else facts.where("area is not null")
     medians = grouped_medians(
         facts,
         keys,
         {"median_lien_amount": "lien_amount", "median_assessed_value": "assessment"},
-        few_groups=fits_broadcast(areas),
+        few_areas,
     )
     cells = aggregate_sql(facts, keys, advertised_measures()).join(medians, keys, "left")
     dense = with_sql(

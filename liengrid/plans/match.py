@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from liengrid.functions.geometry import centroid
 from liengrid.operators.keep_first import keep_first, locale_order, nulls_last
-from liengrid.operators.matching import left_match
+from liengrid.operators.matching import KEY, left_match, left_match_first, with_key
 
 PROPERTY_KEYS = ["block", "lot", "ward", "section"]
 LATEST_KEYS = ["block", "lot", "ward"]
@@ -36,14 +36,20 @@ def match_history(
     results: DataFrame, parcels: DataFrame, order: Sequence[str], parcel_order: Sequence[str] = PARCEL_ORDER
 ) -> DataFrame:
     """First row per (pin, auction_year) with the first parcel of its pin."""
-    facts = keep_first(results.drop("block", "lot"), ["pin", "auction_year"], _ordered(order))
-    return left_match(facts, keep_first(with_centroid(parcels), ["pin"], _ordered(parcel_order)), ["pin"])
+    facts = keep_first(
+        with_key(results.drop("block", "lot"), ["pin"]), [KEY, "auction_year"], _ordered(order)
+    )
+    return left_match_first(facts, _first_parcel(parcels, ["pin"], parcel_order))
 
 
 def match_latest(
     results: DataFrame, parcels: DataFrame, order: Sequence[str], parcel_order: Sequence[str] = PARCEL_ORDER
 ) -> DataFrame:
-    """First row per adv_number, where a row with a known csa comes first."""
+    """First row per adv_number, where a row with a known csa comes first.
+
+    Many results may share one property key, so both sides are shuffled for the join and
+    Spark can split a frequent key over several tasks.
+    """
     by_csa = locale_order("csa")
     best_parcel = keep_first(
         with_centroid(parcels.drop("section")), LATEST_KEYS, [by_csa, *_ordered(parcel_order)]
@@ -57,9 +63,8 @@ def match_advertised(
     advertised: DataFrame, parcels: DataFrame, order: Sequence[str], parcel_order: Sequence[str] = PARCEL_ORDER
 ) -> DataFrame:
     """First row per (block, lot, ward, section) with the first such parcel."""
-    facts = keep_first(advertised, PROPERTY_KEYS, _ordered(order))
-    first_parcel = keep_first(with_centroid(parcels), PROPERTY_KEYS, _ordered(parcel_order))
-    return left_match(facts, first_parcel, PROPERTY_KEYS)
+    facts = keep_first(with_key(advertised, PROPERTY_KEYS), [KEY], _ordered(order))
+    return left_match_first(facts, _first_parcel(parcels, PROPERTY_KEYS, parcel_order))
 
 
 def combine_results(history: DataFrame, latest: DataFrame) -> DataFrame:
@@ -67,5 +72,9 @@ def combine_results(history: DataFrame, latest: DataFrame) -> DataFrame:
     return history.where("auction_type = 'certificate_sale'").unionByName(latest, allowMissingColumns=True)
 
 
+def _first_parcel(parcels: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return keep_first(with_key(with_centroid(parcels), keys), [KEY], _ordered(order))
+
+
 def _ordered(names: Sequence[str]) -> list[str]:
     return [nulls_last(name) for name in names]

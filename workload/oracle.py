@@ -447,7 +447,7 @@ BINNED = """
 def _bins(counts: bool) -> str:
     extra = {"home": BINS, "breaks": BREAKS, "binned": BINNED}
     limits = """cast(bin as integer) as lien_bin, round(breaks[bin], 6) as lien_bin_low,
-            round(breaks[least(bin + 1, len(breaks))], 6) as lien_bin_high"""
+            case when bin is not null then round(breaks[least(bin + 1, len(breaks))], 6) end as lien_bin_high"""
     body = f"select block, lot, ward, section, lien_amount, {limits}, x, y from binned"
     if counts:
         body = f"select {limits}, cast(count(*) as bigint) as num_properties from binned group by all"

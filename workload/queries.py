@@ -153,8 +153,9 @@ def q_advertised_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_account_to_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    accounts = customer.selectExpr("c_custkey", f"{t.account_number('c_custkey')} as account_number")
+    accounts = t.read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", f"{t.account_number('c_custkey')} as account_number"
+    )
     parts = {"block": account_block("account_number"), "lot": account_lot("account_number")}
     return with_sql(with_sql(accounts, parts), {"pin": "concat(block, lot)"})
 

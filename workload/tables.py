@@ -23,8 +23,21 @@ RESULT_ORDER = ["adv_number"]
 ADVERTISED_ORDER = ["adv_number", "line_number", "part_key", "supplier_key", "assessment", "occupied"]
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# The given tables, so that no job has to read a schema first.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+        l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _point(x: str, y: str) -> str:
@@ -62,7 +75,7 @@ def _ward_that_may_miss(key: str) -> str:
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One parcel per customer."""
-    customer, nation, region = (_read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    customer, nation, region = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
         region, F.col("n_regionkey") == F.col("r_regionkey")
     )
@@ -88,11 +101,14 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parcels_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels where every tenth has a second record without a csa."""
-    once = parcels(spark, sf_dir)
-    copies = once.where("objectid % 10 = 0").withColumns(
-        {"csa": F.lit(None).cast("string"), "objectid": F.col("objectid") + COPY_OFFSET}
+    copied = parcels(spark, sf_dir).selectExpr(
+        "*", "explode(if(objectid % 10 = 0, array(false, true), array(false))) as _is_copy"
+    )
+    return copied.selectExpr(
+        "* except (objectid, csa, _is_copy)",
+        f"if(_is_copy, objectid + {COPY_OFFSET}, objectid) as objectid",
+        "if(_is_copy, null, csa) as csa",
     )
-    return once.unionByName(copies)
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +134,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "homestead": "case o_orderkey % 3 when 0 then 'Y' when 1 then 'N' end",
         "owner_occupied": "case when o_orderkey % 4 = 0 then '1' when o_orderkey % 4 < 3 then '0' end",
     }
-    return select_sql(_read(spark, sf_dir, "orders"), columns)
+    return select_sql(read(spark, sf_dir, "orders"), columns)
 
 
 def history(results: DataFrame) -> DataFrame:
@@ -134,7 +150,7 @@ def latest(results: DataFrame) -> DataFrame:
 def advertised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One advertised property per line item, none for customers of one nation."""
     customer, nation, orders, lineitem = (
-        _read(spark, sf_dir, t) for t in ("customer", "nation", "orders", "lineitem")
+        read(spark, sf_dir, t) for t in ("customer", "nation", "orders", "lineitem")
     )
     owners = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where("n_name <> 'NATION_3'")
     owned = orders.join(owners, F.col("o_custkey") == F.col("c_custkey"))
@@ -218,7 +234,7 @@ def raw_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Assessed Value": _money("o_totalprice * 10"),
         "Winning Bidder Name": _if_sold(_padded("concat('B', o_custkey % 97)")),
     }
-    return select_sql(_read(spark, sf_dir, "orders"), columns)
+    return select_sql(read(spark, sf_dir, "orders"), columns)
 
 
 def raw_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +258,7 @@ def raw_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Removed Date": _if_removed("date_format(o_orderdate, 'M/d/yyyy')", "'NA'"),
         "Owner Occupied": "case when o_orderkey % 4 = 0 then '1' when o_orderkey % 4 < 3 then '0' end",
     }
-    return select_sql(_read(spark, sf_dir, "orders").where(f"year(o_orderdate) = {SNAPSHOT_YEAR}"), columns)
+    return select_sql(read(spark, sf_dir, "orders").where(f"year(o_orderdate) = {SNAPSHOT_YEAR}"), columns)
 
 
 def _raw_list(spark: SparkSession, sf_dir: str, names: dict[str, str]) -> DataFrame:
@@ -259,7 +275,7 @@ def _raw_list(spark: SparkSession, sf_dir: str, names: dict[str, str]) -> DataFr
         "lien": f"if(l_linenumber = 6, 'pending', {_money('l_extendedprice')})",
         "occupied": "case when l_linenumber = 7 then '' when l_returnflag = 'A' then 'D' else 'N' end",
     }
-    return select_sql(_read(spark, sf_dir, "lineitem"), {header: columns[c] for header, c in names.items()})
+    return select_sql(read(spark, sf_dir, "lineitem"), {header: columns[c] for header, c in names.items()})
 
 
 def raw_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +313,7 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rectangle around the lots of every district; one name has no summary."""
     x, y = "c_custkey % 1000 * 10", "c_custkey div 1000 * 10"
     boxes = aggregate_sql(
-        _read(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "name"),
+        read(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "name"),
         ["name"],
         {"x": f"min({x})", "w": f"max({x}) + 8 - min({x})", "y": f"min({y})", "h": f"max({y}) + 6 - min({y})"},
     )
@@ -314,4 +330,4 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lon": "-76.75D + c_custkey % 1000 * 0.0003D",
         "lat": "39.2D + c_custkey % 777 * 0.0002D",
     }
-    return select_sql(_read(spark, sf_dir, "customer"), columns)
+    return select_sql(read(spark, sf_dir, "customer"), columns)
