@@ -39,4 +39,4 @@ def yes_no(condition: str) -> str:
 
 def blank_to_null(column: str) -> str:
     """Trimmed text, with empty text and the word NA read as null."""
-    return f"nullif(nullif(trim({column}), ''), 'NA')"
+    return f"if(trim({column}) in ('', 'NA'), null, trim({column}))"

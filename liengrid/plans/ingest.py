@@ -13,7 +13,7 @@ from liengrid.operators.columns import select_sql, with_sql
 from liengrid.operators.matching import left_match
 
 INDEX_KEYS = ["tax_year", "auction_year", "auction_type"]
-DATE_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
+DATE_FORMATS = ("M/d/yyyy",)
 
 # Header names of each release and the names used here.
 HISTORY_NAMES = {
@@ -36,15 +36,19 @@ ADVERTISED_UPDATE_NAMES = {
 
 
 def clean_raw(raw: DataFrame, names: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """snake_case headers, release names, blanks as null; keep is left as it is."""
+    """snake_case headers, release names, blanks as null; keep is left as it is.
+
+    Columns that are cast later need no cleaning: the casts take blanks and NA as null.
+    Leaving them out keeps the code Spark generates for a whole table short enough for
+    the JVM to compile.
+    """
     headers = [names.get(header, header) for header in snake_names(raw.columns)]
-    cleaned = {c: c if c in keep else blank_to_null(f"`{c}`") for c in headers}
+    cleaned = {c: f"`{c}`" if c in keep else blank_to_null(f"`{c}`") for c in headers}
     return select_sql(raw.toDF(*headers), cleaned)
 
 
-def _casts(df: DataFrame, integers: Sequence[str], doubles: Sequence[str]) -> dict[str, str]:
-    casts = {c: to_int(c) for c in integers if c in df.columns}
-    return casts | {c: to_double(c) for c in doubles if c in df.columns}
+def _casts(integers: Sequence[str], doubles: Sequence[str]) -> dict[str, str]:
+    return {c: to_int(c) for c in integers} | {c: to_double(c) for c in doubles}
 
 
 def _removal(formats: Sequence[str]) -> dict[str, str]:
@@ -60,10 +64,8 @@ def type_history(
     raw: DataFrame, path: str = "path", date_formats: Sequence[str] = DATE_FORMATS
 ) -> DataFrame:
     """P7 for the yearly result files; the sale type comes from the source path."""
-    text = clean_raw(raw, HISTORY_NAMES, keep=[path])
     block, lot = account_block("account_number"), account_lot("account_number")
     typed = _casts(
-        text,
         ["adv_number", "tax_year", "num_ties", "num_bids"],
         ["winning_bid", "winning_bid_premium", "winning_bidder_amt_due", "lien_amount", "assessed_value"],
     )
@@ -76,18 +78,18 @@ def type_history(
         "auction_type": f"""case when `{path}` like '%assignment%' then 'assignment_sale'
             when `{path}` like '%certificate%' then 'certificate_sale' end""",
     }
+    text = clean_raw(raw, HISTORY_NAMES, keep=[path, "removed_date", *typed])
     return with_sql(text, typed | _removal(date_formats) | derived).drop(path)
 
 
 def type_latest(raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """P7 for the single certificate sale report of the latest year."""
-    text = clean_raw(raw, LATEST_NAMES)
     typed = _casts(
-        text,
         ["adv_number", "tax_year"],
         ["lien_amount", "assessed_value", "winning_bid", "winning_bid_premium", "winning_bidder_amt_due"],
     )
     derived = {"auction_type": "'certificate_sale'", "auction_year": f"{typed['tax_year']} + 1"}
+    text = clean_raw(raw, LATEST_NAMES, keep=["removed_date", *typed])
     return with_sql(text, typed | _removal(date_formats) | derived)
 
 
@@ -95,8 +97,8 @@ def type_advertised(
     raw: DataFrame, auction_year: int, names: dict[str, str] = ADVERTISED_NAMES
 ) -> DataFrame:
     """P7 for a list of advertised properties; a list without numbers gets null ones."""
-    text = clean_raw(raw, names)
-    typed = _casts(text, ["adv_number"], ["assessment", "lien_amount"])
+    typed = _casts(["adv_number"], ["assessment", "lien_amount"])
+    text = clean_raw(raw, names, keep=list(typed))
     if "adv_number" not in text.columns:
         typed["adv_number"] = "cast(null as int)"
     return with_sql(text, typed | {"tax_year": str(auction_year - 1), "auction_year": str(auction_year)})

@@ -70,9 +70,10 @@ def test_text_to_numbers(evaluate):
 
 def test_text_to_date_tries_formats_in_turn(evaluate):
     day = datetime.date(2019, 5, 13)
-    texts = ["2019-05-13", "2019-05-13 10:11:12", " 5/13/2019 ", "5/13/2019 9:30", "soon", None]
-    formats = ("M/d/yyyy H:mm", "M/d/yyyy")
-    assert evaluate(numbers.to_date("c", formats), texts) == [day, day, day, day, None, None]
+    good = ["2019-05-13", "2019-05-13 10:11:12", "2019-05-13T10:11:12.5Z", " 5/13/2019 ", "5/13/2019 9:30 PM", "13May2019"]
+    bad = ["soon", "2019-05-13 soon", "2019-02-30", "2/30/2019", "", None]
+    formats = ("M/d/yyyy", "dMMMyyyy")
+    assert evaluate(numbers.to_date("c", formats), good + bad) == [day] * 6 + [None] * 6
 
 
 def test_share_rounds_half_to_even_and_survives_zero(spark):

@@ -139,7 +139,7 @@ def results_by_area_year(
 
 
 def q_results_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return type_history(t.raw_history(spark, sf_dir))
+    return type_history(stage(t.raw_history(spark, sf_dir)))
 
 
 def q_latest_typed(spark: SparkSession, sf_dir: str) -> DataFrame:

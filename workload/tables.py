@@ -40,14 +40,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _point(x: str, y: str) -> str:
-    return f"named_struct('x', cast({x} as double), 'y', cast({y} as double))"
-
-
 def _rectangle(x: str, y: str, width: str, height: str) -> str:
-    right, top = f"{x} + {width}", f"{y} + {height}"
-    corners = [(x, y), (right, y), (right, top), (x, top), (x, y)]
-    return f"array({', '.join(_point(*corner) for corner in corners)})"
+    """A closed ring around the corners 0 to 3 and back to 0."""
+    return f"""transform(array(0, 1, 2, 3, 0), corner -> named_struct(
+        'x', cast({x} + if(corner in (1, 2), {width}, 0) as double),
+        'y', cast({y} + if(corner in (2, 3), {height}, 0) as double)))"""
 
 
 def _lot_shape(key: str) -> str:
