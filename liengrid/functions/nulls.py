@@ -16,9 +16,10 @@ def strict_count_if(condition: str) -> str:
     return strict(f"count_if({condition})", condition)
 
 
-def count_distinct_with_null(column: str) -> str:
-    """Distinct values, where null counts as one value."""
-    return f"count(distinct {column}) + max(if({column} is null, 1, 0))"
+def count_distinct_with_null(column: str, error: float | None = None) -> str:
+    """Distinct values, where null counts as one value; approximate if an error is given."""
+    distinct = f"approx_count_distinct({column}, {error})" if error else f"count(distinct {column})"
+    return f"{distinct} + max(if({column} is null, 1, 0))"
 
 
 def is_one_of(column: str, values: Iterable[str]) -> str:

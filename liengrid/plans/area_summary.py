@@ -21,6 +21,7 @@ from liengrid.operators.small import small_table
 
 CELL = ["type", "area", "auction_year"]
 
+# The column order of the two summaries.
 AREA_YEAR_COLUMNS = [
     "area",
     "type",
@@ -86,8 +87,9 @@ ADVERTISED_COLUMNS = [
 IS_HOMEOWNER = is_one_of("occupied", ("D", "H"))
 
 
-def auction_measures() -> dict[str, str]:
-    """A11 without medians and shares."""
+def auction_measures(distinct_error: float | None = None) -> dict[str, str]:
+    """A11 without medians and shares; distinct_error switches to an approximate bidder count."""
+    bidders = count_distinct_with_null("winning_bidder_name", distinct_error)
     return {
         "num_advertised": "count(*)",
         "num_removed": "count_if(removed = 'Y')",
@@ -96,7 +98,7 @@ def auction_measures() -> dict[str, str]:
         "sum_lien_amount": strict(money_sum("lien_amount"), "lien_amount"),
         "_lien_amounts": "count(lien_amount)",
         "_assessed_values": "count(assessed_value)",
-        "num_winning_bidders": count_distinct_with_null("winning_bidder_name"),
+        "num_winning_bidders": bidders,
         "mean_num_bids": "bround(avg(num_bids), 2)",
     }
 
@@ -141,11 +143,13 @@ def area_year_cells(
     keep_unmatched: bool = False,
     few_cells: bool = False,
     median_accuracy: int | None = None,
+    distinct_error: float | None = None,
 ) -> DataFrame:
     """One row per area type, area and year that occurs.
 
     few_cells says that the number of cells has been checked to be small.
-    median_accuracy switches to approximate medians with that accuracy.
+    median_accuracy switches to approximate medians with that accuracy, distinct_error
+    to an approximate number of bidders with that relative error.
     """
     medians = {"median_lien_amount": "lien_amount", "median_assessed_value": "assessed_value"}
     if bid_measures:
@@ -154,7 +158,7 @@ def area_year_cells(
     if keep_unmatched:
         facts = facts.fillna({"area": UNKNOWN})
 
-    measures = auction_measures() | homestead_measures(snapshot_year) | occupancy_measures(snapshot_year)
+    measures = auction_measures(distinct_error) | homestead_measures(snapshot_year) | occupancy_measures(snapshot_year)
     if bid_measures:
         measures |= winning_bid_measures()
     if median_accuracy:
@@ -206,6 +210,7 @@ def summarise_by_area(
     bid_measures: bool = False,
     keep_unmatched: bool = False,
     median_accuracy: int | None = None,
+    distinct_error: float | None = None,
 ) -> DataFrame:
     """D3: auction summary on the area x year grid, for one or more area types.
 
@@ -222,6 +227,7 @@ def summarise_by_area(
         keep_unmatched,
         few_cells,
         median_accuracy,
+        distinct_error,
     )
     dense = with_sql(
         _densify(grid, cells, CELL),

@@ -61,9 +61,15 @@ def _removal(formats: Sequence[str]) -> dict[str, str]:
 
 
 def type_history(
-    raw: DataFrame, path: str = "path", date_formats: Sequence[str] = DATE_FORMATS
+    raw: DataFrame,
+    path: str = "path",
+    date_formats: Sequence[str] = DATE_FORMATS,
+    keep_path: bool = False,
 ) -> DataFrame:
-    """P7 for the yearly result files; the sale type comes from the source path."""
+    """P7 for the yearly result files; the sale type comes from the source path.
+
+    keep_path leaves the path in, as the first part of the row order for match_history.
+    """
     block, lot = account_block("account_number"), account_lot("account_number")
     typed = _casts(
         ["adv_number", "tax_year", "num_ties", "num_bids"],
@@ -79,7 +85,8 @@ def type_history(
             when `{path}` like '%certificate%' then 'certificate_sale' end""",
     }
     text = clean_raw(raw, HISTORY_NAMES, keep=[path, "removed_date", *typed])
-    return with_sql(text, typed | _removal(date_formats) | derived).drop(path)
+    results = with_sql(text, typed | _removal(date_formats) | derived)
+    return results if keep_path else results.drop(path)
 
 
 def type_latest(raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> DataFrame:

@@ -37,7 +37,7 @@ def match_history(
 ) -> DataFrame:
     """First row per (pin, auction_year) with the first parcel of its pin."""
     facts = keep_first(
-        with_key(results.drop("block", "lot"), ["pin"]), [KEY, "auction_year"], _ordered(order)
+        with_key(results.drop("block", "lot"), ["pin"]), [KEY, "auction_year"], _ordered(order, ["pin"])
     )
     return left_match_first(facts, _first_parcel(parcels, ["pin"], parcel_order))
 
@@ -63,7 +63,7 @@ def match_advertised(
     advertised: DataFrame, parcels: DataFrame, order: Sequence[str], parcel_order: Sequence[str] = PARCEL_ORDER
 ) -> DataFrame:
     """First row per (block, lot, ward, section) with the first such parcel."""
-    facts = keep_first(with_key(advertised, PROPERTY_KEYS), [KEY], _ordered(order))
+    facts = keep_first(with_key(advertised, PROPERTY_KEYS), [KEY], _ordered(order, PROPERTY_KEYS))
     return left_match_first(facts, _first_parcel(parcels, PROPERTY_KEYS, parcel_order))
 
 
@@ -73,8 +73,9 @@ def combine_results(history: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def _first_parcel(parcels: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return keep_first(with_key(with_centroid(parcels), keys), [KEY], _ordered(order))
+    return keep_first(with_key(with_centroid(parcels), keys), [KEY], _ordered(order, keys))
 
 
-def _ordered(names: Sequence[str]) -> list[str]:
-    return [nulls_last(name) for name in names]
+def _ordered(names: Sequence[str], keys: Sequence[str] = ()) -> list[str]:
+    """Sort items; the key columns are equal within a key and left out."""
+    return [nulls_last(name) for name in names if name not in keys]

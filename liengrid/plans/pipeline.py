@@ -1,0 +1,111 @@
+"""The whole run: raw files to stored tables, stored tables to summary files.
+
+Each matched table is written once and read by every summary, so the joins to the
+parcels are done once and a summary scans only the columns it needs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from liengrid.functions.geometry import LambertConic
+from liengrid.operators.grid import AREA_TYPES, area_property_count, area_year_grid
+from liengrid.plans.area_summary import summarise_advertised, summarise_by_area
+from liengrid.plans.bidders import bidder_summary
+from liengrid.plans.ingest import type_advertised, type_history, type_latest, with_auction_index
+from liengrid.plans.match import combine_results, match_advertised, match_history, match_latest
+from liengrid.plans.match_quality import match_quality
+from liengrid.plans.reports import choropleth_layer, district_report, homeowner_lien_bins
+from liengrid.sources.files import find_files, read_auction_index, read_text_csv, read_text_csvs
+from liengrid.sources.tables import load_table, read_parcels, save_table, write_summary_csv
+
+# How an area type appears in the name of a summary.
+AREA_LABELS = {"neighborhood": "neighborhood", "csa": "csa", "council_district": "district"}
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """Where the raw files are.
+
+    lists maps a table name to the raw list, its header names and its auction year.
+    """
+
+    parcels: str
+    index: str
+    history_folder: str
+    latest_report: str
+    lists: Mapping[str, tuple[DataFrame, dict[str, str], int]] = field(default_factory=dict)
+    history_name: str = "certificate_sale_results"
+    snapshot_year: int = 2020
+    projection: LambertConic | None = None
+
+
+def _by_number(df: DataFrame) -> list[str]:
+    """A total order of raw rows: the business number, then all other columns."""
+    return ["adv_number", *sorted(c for c in df.columns if c != "adv_number")]
+
+
+def build_tables(spark: SparkSession, inputs: Inputs, out: str) -> None:
+    """K1: reads the raw files and stores the typed, matched and dimension tables in out."""
+    save_table(read_parcels(spark, inputs.parcels, inputs.projection), f"{out}/real_property")
+    parcels = load_table(spark, f"{out}/real_property")
+    index = read_auction_index(spark, inputs.index)
+    save_table(area_property_count(parcels), f"{out}/area_property_count")
+    areas = load_table(spark, f"{out}/area_property_count").select("area", "type")
+    save_table(area_year_grid(areas, index), f"{out}/auction_year_area_index")
+
+    files = find_files(
+        spark, inputs.history_folder, inputs.history_name, excludes=str(inputs.snapshot_year)
+    )
+    history = with_auction_index(type_history(read_text_csvs(spark, files), keep_path=True), index)
+    in_order = ["path", *_by_number(history.drop("path", "block", "lot"))]
+    matched = match_history(history, parcels, in_order).drop("path")
+    save_table(matched, f"{out}/auction_results_history", ["auction_year"])
+
+    latest = with_auction_index(type_latest(read_text_csv(spark, inputs.latest_report)), index)
+    save_table(match_latest(latest, parcels, _by_number(latest)), f"{out}/auction_results_latest")
+
+    results = combine_results(
+        load_table(spark, f"{out}/auction_results_history"), load_table(spark, f"{out}/auction_results_latest")
+    )
+    save_table(results.drop("x", "y"), f"{out}/auction_results", ["auction_year"])
+
+    for name, (raw, headers, year) in inputs.lists.items():
+        listed = type_advertised(raw, year, headers)
+        save_table(match_advertised(listed, parcels, _by_number(listed)), f"{out}/{name}")
+        save_table(area_year_grid(areas, [year]), f"{out}/auction_year_area_index_{year}")
+
+
+def write_summaries(
+    spark: SparkSession,
+    tables: str,
+    out: str,
+    advertised: str,
+    list_year: int,
+    index: str,
+    pre_year: int = 2019,
+    snapshot_year: int = 2020,
+    boundaries: DataFrame | None = None,
+    area_types: Sequence[str] = AREA_TYPES,
+) -> None:
+    """Reads stored tables and writes every summary, bin and map table to out."""
+    counts = load_table(spark, f"{tables}/area_property_count")
+    results = load_table(spark, f"{tables}/auction_results")
+    listed = load_table(spark, f"{tables}/{advertised}")
+    years = read_auction_index(spark, index)
+    for area in area_types:
+        label = AREA_LABELS[area]
+        by_year = summarise_by_area(results, counts, years, [area], pre_year, snapshot_year)
+        write_summary_csv(by_year, f"{out}/results_summary_by_{label}_year")
+        by_list = summarise_advertised(listed, counts, list_year, [area])
+        write_summary_csv(by_list, f"{out}/property_summary_by_{label}_{list_year}")
+    write_summary_csv(bidder_summary(results, snapshot_year), f"{out}/bidder_summary")
+    write_summary_csv(match_quality(listed, counts), f"{out}/match_quality")
+    write_summary_csv(district_report(results, snapshot_year, labels=True), f"{out}/district_report")
+    save_table(homeowner_lien_bins(listed), f"{out}/homeowner_lien_bins")
+    if boundaries is not None:
+        by_district = summarise_advertised(listed, counts, list_year, ["council_district"])
+        save_table(choropleth_layer(boundaries, by_district), f"{out}/district_map")

@@ -67,3 +67,9 @@ def read_text_csvs(spark: SparkSession, paths: Sequence[str], multi_line: bool =
         table = _reader(spark, multi_line).schema(schema).csv(members)
         tables.append(table.select(F.col("_metadata.file_path").alias("path"), *[F.col(f"`{c}`") for c in header]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def read_text_table(spark: SparkSession, path: str) -> DataFrame:
+    """A list that was exported from a workbook to Parquet, all columns as text."""
+    table = spark.read.parquet(path)
+    return table.selectExpr(*[f"cast(`{c}` as string) as `{c}`" for c in table.columns])
