@@ -8,7 +8,7 @@ import glob
 import pytest
 
 from liengrid.plans.ingest import ADVERTISED_NAMES, ADVERTISED_UPDATE_NAMES
-from liengrid.plans.pipeline import Inputs, build_tables, write_summaries
+from liengrid.plans.full_run import Inputs, build_tables, write_summaries
 from liengrid.sources.files import read_text_csv, read_text_table
 from liengrid.sources.tables import PARCEL_COLUMNS, load_table
 
