@@ -78,6 +78,7 @@ def grouped_quantiles(
     buckets = aggregate_sql(values, [*group, "_bucket"], {"_rows": "sum(_rows)"})
     up_to_here = f"over (partition by {by_group} order by _bucket rows unbounded preceding)"
     positions = {p for fraction in fractions for p in _position(fraction)[:2]}
+    holds_any = " or ".join(_holds(position) for position in sorted(positions))
     wanted = (
         buckets.selectExpr(
             *group,
@@ -86,7 +87,7 @@ def grouped_quantiles(
             f"sum(_rows) {up_to_here} - _rows as _before",
             f"sum(_rows) over (partition by {by_group}) as _total",
         )
-        .where(" or ".join(_holds(position) for position in sorted(positions)))
+        .where(holds_any)
         .drop("_rows")
     )
     if few_groups:
@@ -102,7 +103,7 @@ def grouped_quantiles(
     in_bucket = f"over (partition by {by_group}, _bucket order by _value rows unbounded preceding)"
     ranked = counted.selectExpr(
         *group, "_value", "_rows", "_total", f"_before + sum(_rows) {in_bucket} - _rows as _before"
-    )
+    ).where(holds_any)
     return aggregate_sql(
         ranked, keys, {c: f"array({', '.join(_quantile(c, f) for f in fractions)})" for c in columns}
     )
