@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -66,25 +65,23 @@ def write_summary_csv(df: DataFrame, path: str) -> None:
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder for tables between steps, from spark.checkpoint.dir.
+    """The shared folder for tables between steps: spark.checkpoint.dir, or else the warehouse.
 
-    A folder of this machine is used only by a local session that names none.
+    Both are seen by the driver and by all executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.conf.get("spark.master").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="liengrid-")
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write a table once to the shared folder and go on from the written copy.
 
     For a table that a plan reads several times, such as a join result: each reader
-    scans only its columns, and a lost executor does not repeat the join.
+    scans only its columns, and a lost executor does not repeat the join. The copy is
+    removed when the session's JVM ends.
     """
-    path = f"{staging_folder(df.sparkSession)}/liengrid-stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{staging_folder(spark)}/liengrid-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
