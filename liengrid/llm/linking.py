@@ -1,7 +1,9 @@
 """Groups of near items, from block keys that every near pair is known to share.
 
 A block of n items would give n * n / 2 pairs. Instead, each item is first checked against
-the least item of its blocks, which joins groups of copies in linear time. Only blocks that
+the least item of its blocks, which joins groups of copies in linear time. Then, for some rounds,
+each block draws another of its items, and each item is checked against the nearest item, by
+signature, that its blocks have drawn from other groups; this too is linear. Only blocks that
 still hold items of several groups are looked at in pairs, and of these only pairs between
 groups whose signatures are near enough: all other pairs are connected already or can't be
 near. So no link between groups is lost.
@@ -18,52 +20,51 @@ from liengrid.llm.components import components
 from liengrid.sources.tables import stage
 
 
+def _open_rows(live: DataFrame, links: DataFrame) -> DataFrame:
+    """key, id and part of the blocks that hold items of several parts."""
+    grouped = live.join(components(links), "id", "left").selectExpr("key", "id", "coalesce(component, id) as part")
+    parts = grouped.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("greatest"))
+    return stage(grouped.join(parts.where("least <> greatest").select("key"), "key"))
+
+
 def linked_groups(
     keys: DataFrame,
     features: DataFrame,
     near: str,
+    closeness: str,
     confirm: Callable[[DataFrame], DataFrame],
-    finer_keys: str | None = None,
     given: DataFrame | None = None,
-    heavy: int = 256,
+    rounds: int = 3,
 ) -> DataFrame:
     """id and component of the items that have a link; the least id names a component.
 
     keys: (key, id) rows. features: (id, ...) with what near needs, a condition between
-    items x and y that holds for every linked pair. confirm keeps the linked ones of pairs
-    (a, b). finer_keys is an expression over key and the features that gives an array of
-    further keys, of which every near pair of the block shares one; blocks of more than
-    heavy items are divided by it before pairs are formed. given has links (a, b) known beforehand.
+    items x and y that holds for every linked pair, and closeness, greater for nearer ones.
+    confirm keeps the linked ones of pairs (a, b). given has links (a, b) known beforehand.
     """
-    shared = keys.groupBy("key").agg({"id": "min", "key": "count"})
-    shared = shared.selectExpr("key", "`min(id)` as hub", "`count(key)` as items").where("items > 1")
-    live = stage(keys.join(shared, "key").select("key", "id", "hub", "items"))
-    to_hub = live.where("id <> hub").groupBy("id").agg({"hub": "min"}).selectExpr("`min(hub)` as a", "id as b")
-    first_links = confirm(to_hub)
-    first_links = stage(first_links if given is None else first_links.unionByName(given))
-
-    grouped = live.join(components(first_links), "id", "left").selectExpr(
-        "key", "id", "coalesce(component, id) as part"
-    )
-    mixed = grouped.groupBy("key").agg({"part": "min", "id": "count"}).withColumnsRenamed(
-        {"min(part)": "least", "count(id)": "items"}
-    )
-    several = grouped.join(mixed, "key").where("part <> least").select("key").distinct()
-    open_rows = grouped.join(several, "key", "left_semi").join(mixed.select("key", "items"), "key")
-    open_rows = open_rows.join(features, "id")
-    extras = [c for c in features.columns if c != "id"]
-    if finer_keys:
-        finer = open_rows.where(f"items > {heavy}").selectExpr(
-            f"explode({finer_keys}) as finer", "key", "id", "part", *extras
+    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("items")).where("items > 1")
+    live = stage(keys.join(shared.select("key", "hub"), "key").select("key", "id", "hub"))
+    to_hub = live.where("id <> hub").groupBy("id").agg(F.min("hub").alias("a")).selectExpr("a", "id as b")
+    links = confirm(to_hub)
+    links = stage(links if given is None else links.unionByName(given))
+    live = live.drop("hub")
+    open_rows = _open_rows(live, links)
+    x, y = features.alias("x"), features.alias("y")
+    for turn in range(rounds):
+        if open_rows.isEmpty():
+            break
+        drawn = open_rows.groupBy("key").agg(
+            F.expr(f"min_by(struct(id, part), struct(xxhash64({turn}, key, id), id))").alias("drawn")
         )
-        whole = open_rows.where(f"items <= {heavy}").selectExpr("0L as finer", "key", "id", "part", *extras)
-        open_rows = whole.unionByName(finer)
-    else:
-        open_rows = open_rows.selectExpr("0L as finer", "key", "id", "part", *extras)
-    open_rows = stage(open_rows)
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    same_block = "x.key = y.key and x.finer = y.finer and x.part < y.part"
-    pairs = x.join(y, F.expr(f"{same_block} and ({near})"))
+        met = open_rows.join(drawn, "key").where("part <> drawn.part")
+        met = met.selectExpr("id as met_id", "drawn.id as met_hub").distinct()
+        met = met.join(x, F.expr("met_id = x.id")).join(y, F.expr("met_hub = y.id")).where(near)
+        best = met.groupBy("met_id").agg(F.expr(f"max_by(met_hub, struct({closeness}, -met_hub))").alias("hub"))
+        found = confirm(best.selectExpr("least(met_id, hub) as a", "greatest(met_id, hub) as b").distinct())
+        links = stage(links.unionByName(found))
+        open_rows = _open_rows(live, links)
+
+    rows = stage(open_rows.join(features, "id"))
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.part < y.part and ({near})"))
     pairs = pairs.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
-    more_links = stage(confirm(pairs))
-    return components(first_links.union(more_links))
+    return components(links.unionByName(stage(confirm(pairs))))

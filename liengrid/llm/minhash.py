@@ -3,10 +3,10 @@
 A signature has COORDINATES values of BITS bits. Two sets of similarity s differ in each
 value with probability 1 - s. Pairs that differ in at most MAX_DIFFERENT values are all
 found: by the pigeonhole principle, one of the CHUNKS chunks of four values has at most
-MAX_DIFFERENT // CHUNKS = 2 errors, so enumerating the two values that may differ leaves a
-key of the other two that both share. A pair at the similarity threshold 0.75 differs in 8 values
-on average; more than MAX_DIFFERENT has a chance of about one in 100,000, and most of
-these pairs still share a key. Links are confirmed on the full shingle sets.
+MAX_DIFFERENT // CHUNKS = 1 error, so enumerating the value that may differ leaves a key of the
+other three that both share. A pair at the similarity threshold 0.75 differs in 12 values on
+average; more than MAX_DIFFERENT has a chance of less than one in 10,000, and nearly all of these
+pairs still share a key. Links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from liengrid.sources.tables import stage
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 75
-COORDINATES = 32
+COORDINATES = 48
 BITS = 16
 CHUNK = 4
 CHUNKS = COORDINATES // CHUNK
-MAX_DIFFERENT = 18
+MAX_DIFFERENT = 23
 KEPT_VALUES = CHUNK - MAX_DIFFERENT // CHUNKS
 PATTERNS = list(combinations(range(CHUNK), KEPT_VALUES))
 
@@ -70,7 +70,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def _chunk_keys(rows: np.ndarray) -> np.ndarray:
-    """All keys of signatures: for each chunk and pattern the kept values, tagged with both."""
+    """All keys of signatures: for each chunk and pattern the kept values, below the number of both."""
     keys = np.empty((len(rows), CHUNKS * len(PATTERNS)), np.int64)
     wide = rows.astype(np.int64)
     for c in range(CHUNKS):
@@ -102,23 +102,20 @@ _MARKS = sum(1 << (_SLOT * i + BITS) for i in range(PER_LONG))
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures as longs of three values with a free bit above each, and all keys for blocks that are divided."""
+    """Signatures as longs of three values with a free bit above each."""
     for batch in batches:
         raw = b"".join(batch.column("signature").to_pylist())
         rows = np.frombuffer(raw, np.uint16).reshape(-1, COORDINATES)
-        keys = _chunk_keys(rows)
         longs = np.zeros((len(rows), _LONGS), np.int64)
         for c in range(COORDINATES):
             longs[:, c // PER_LONG] |= rows[:, c].astype(np.int64) << (_SLOT * (c % PER_LONG))
-        bounds = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
                 batch.column("n_shingles"),
                 *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(_LONGS)],
-                pa.ListArray.from_arrays(bounds, pa.array(keys.ravel())),
             ],
-            names=["id", "n_shingles", *[f"s{i}" for i in range(_LONGS)], "all_keys"],
+            names=["id", "n_shingles", *[f"s{i}" for i in range(_LONGS)]],
         )
 
 
@@ -128,14 +125,10 @@ def _equal_values(i: int) -> str:
 
 
 _UNUSED = _LONGS * PER_LONG - COORDINATES
+EQUAL = " + ".join(_equal_values(i) for i in range(_LONGS))
 NEAR = (
     f"x.n_shingles * 100 >= y.n_shingles * {SIMILAR_PERCENT} and y.n_shingles * 100 >= x.n_shingles * {SIMILAR_PERCENT}"
-    f" and {' + '.join(_equal_values(i) for i in range(_LONGS))} >= {COORDINATES - MAX_DIFFERENT + _UNUSED}"
-)
-# A pair within MAX_DIFFERENT has at least two chunks with few errors, as seven with three each are 21.
-_SHIFT = BITS * KEPT_VALUES
-FINER = (
-    f"filter(all_keys, k -> shiftright(k, {_SHIFT}) div {len(PATTERNS)} <> shiftright(key, {_SHIFT}) div {len(PATTERNS)})"
+    f" and {EQUAL} >= {COORDINATES - MAX_DIFFERENT + _UNUSED}"
 )
 
 
@@ -182,7 +175,7 @@ def near_duplicates(
     keys = classes.select("id", "signature").mapInArrow(_key_rows, "key long, id long")
     longs = ", ".join(f"s{i} long" for i in range(_LONGS))
     features = classes.select("id", "n_shingles", "signature").mapInArrow(
-        _feature_rows, f"id long, n_shingles long, {longs}, all_keys array<long>"
+        _feature_rows, f"id long, n_shingles long, {longs}"
     )
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -196,7 +189,7 @@ def near_duplicates(
     members = stage(full.join(classes.drop("signature"), identity).select("doc_id", "id").distinct())
     least = members.groupBy("doc_id").agg({"id": "min"}).withColumnRenamed("min(id)", "a")
     given = members.join(least, "doc_id").where("id <> a").selectExpr("a", "id as b")
-    linked = linked_groups(keys, features, NEAR, confirm, FINER, given)
+    linked = linked_groups(keys, features, NEAR, EQUAL, confirm, given)
     labels = members.join(linked, "id", "left").selectExpr("doc_id", "coalesce(component, id) as component_id")
     labels = labels.groupBy("doc_id").agg({"component_id": "min"}).withColumnRenamed("min(component_id)", "component_id")
     return sets.select("doc_id", "n_shingles").join(labels, "doc_id", "left").selectExpr(
