@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from liengrid.llm import texts
@@ -136,5 +137,5 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
     source = documents.select(*[F.col(f"`{c}`") for c in kept]).withColumn("text", F.col("text").cast("string"))
-    schema = source.schema.add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(predict, schema)
+    made = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return source.mapInArrow(predict, StructType([*source.schema.fields, *made.fields]))

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from liengrid.llm import texts
@@ -301,4 +302,5 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float
 
     kept = [c for c in documents.columns if c not in ("score", "predicted")]
     source = documents.select(*[F.col(f"`{c}`") for c in kept]).withColumn("text", F.col("text").cast("string"))
-    return source.mapInArrow(predict, source.schema.add("score", "double").add("predicted", "int"))
+    made = StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return source.mapInArrow(predict, StructType([*source.schema.fields, *made.fields]))
