@@ -22,9 +22,15 @@ def count_distinct_with_null(column: str, error: float | None = None) -> str:
     return f"{distinct} + max(if({column} is null, 1, 0))"
 
 
+def literal(text: str) -> str:
+    """A text as an SQL literal, its quotes and backslashes kept."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def is_one_of(column: str, values: Iterable[str]) -> str:
     """Set membership that is false, never null, for a null."""
-    listed = ", ".join(f"'{value}'" for value in values)
+    listed = ", ".join(literal(value) for value in values)
     return f"coalesce({column} in ({listed}), false)"
 
 

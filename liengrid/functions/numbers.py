@@ -10,12 +10,13 @@ _DAY = r"^\s*([^ T]+)"
 
 
 def to_double(text: str) -> str:
-    """Text to double, null for anything that is not a plain number.
+    """Text to double, null for anything that is not a plain number, or one too large for a double.
 
     The form is checked first: Java also reads "12d" as a number, and a cast that fails
     costs far more than the check.
     """
-    return f"if({text} rlike r'{_NUMBER}', try_cast({text} as double), null)"
+    finite = f"nullif(nullif(try_cast({text} as double), double('infinity')), double('-infinity'))"
+    return f"if({text} rlike r'{_NUMBER}', {finite}, null)"
 
 
 def to_int(text: str) -> str:

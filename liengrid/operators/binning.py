@@ -15,7 +15,7 @@ def equal_count_bins(df: DataFrame, column: str, bins: int, prefix: str) -> Data
     known before the rows are scanned.
     """
     fractions = [(i, bins) for i in range(bins + 1)]
-    quantiles = grouped_quantiles(df, [], [column], fractions, few_groups=True)
+    quantiles = grouped_quantiles(df, [], [column], fractions)
     breaks = quantiles.selectExpr(f"array_sort(array_distinct(`{column}`))").scalar()
     value = f"cast(`{column}` as double)"
     number = f"if({value} is null, null, greatest(size(filter(_breaks, b -> b < {value})), 1))"

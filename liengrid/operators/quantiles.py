@@ -52,15 +52,12 @@ def grouped_quantiles(
     keys: Sequence[str],
     columns: Sequence[str],
     fractions: Sequence[tuple[int, int]] = (MEDIAN,),
-    few_groups: bool = False,
 ) -> DataFrame:
     """Exact interpolated quantiles of several columns, nulls skipped.
 
     Returns keys plus, per column, an array with one value per fraction (part, whole).
-    A group whose values are all null has no row. few_groups says that the number of
-    groups has been checked, see small_table: the wanted buckets, at most two rows of
-    about 100 bytes per group, column and fraction, are then broadcast and df is read a
-    second time, instead of shuffling every value.
+    A group whose values are all null has no row. Equal values are counted before the first
+    shuffle; how the wanted buckets are joined is left to Spark's own size check.
     """
     group = [*keys, "_column"]
     by_group = ", ".join(f"`{name}`" for name in group)
@@ -69,11 +66,8 @@ def grouped_quantiles(
         .unpivot(list(keys), list(columns), "_column", "_value")
         .where("_value is not null and not isnan(_value)")
     )
-    if few_groups:
-        values = values.selectExpr("*", f"{_BUCKET} as _bucket", "1L as _rows")
-    else:
-        counted = aggregate_sql(values, [*group, "_value"], {"_rows": "count(*)"})
-        values = counted.selectExpr("*", f"{_BUCKET} as _bucket")
+    counted = aggregate_sql(values, [*group, "_value"], {"_rows": "count(*)"})
+    values = counted.selectExpr("*", f"{_BUCKET} as _bucket")
 
     buckets = aggregate_sql(values, [*group, "_bucket"], {"_rows": "sum(_rows)"})
     up_to_here = f"over (partition by {by_group} order by _bucket rows unbounded preceding)"
@@ -90,8 +84,6 @@ def grouped_quantiles(
         .where(holds_any)
         .drop("_rows")
     )
-    if few_groups:
-        wanted = F.broadcast(wanted)
 
     same = [f"v.`{k}` <=> w.`{k}`" for k in keys] + ["v._column = w._column", "v._bucket = w._bucket"]
     candidates = values.alias("v").join(wanted.alias("w"), F.expr(" and ".join(same)))
@@ -110,8 +102,8 @@ def grouped_quantiles(
 
 
 def grouped_medians(
-    df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], few_groups: bool = False
+    df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]
 ) -> DataFrame:
     """Exact medians; columns maps an output name to an input column."""
-    quantiles = grouped_quantiles(df, keys, list(columns.values()), (MEDIAN,), few_groups)
+    quantiles = grouped_quantiles(df, keys, list(columns.values()), (MEDIAN,))
     return select_sql(quantiles, names_sql(*keys) | {name: f"`{c}`[0]" for name, c in columns.items()})

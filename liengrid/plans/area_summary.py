@@ -12,12 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liengrid.functions.nulls import count_distinct_with_null, is_one_of, strict, strict_count_if
+from liengrid.functions.nulls import count_distinct_with_null, is_one_of, literal, strict, strict_count_if
 from liengrid.functions.numbers import money_mean, money_sum, pct, to_cents
 from liengrid.operators.columns import aggregate_sql, with_sql
 from liengrid.operators.grid import AREA_TYPES, UNKNOWN, area_year_grid, by_area
 from liengrid.operators.quantiles import grouped_medians
-from liengrid.operators.small import small_table
 
 CELL = ["type", "area", "auction_year"]
 
@@ -141,13 +140,13 @@ def area_year_cells(
     snapshot_year: int,
     bid_measures: bool = False,
     keep_unmatched: bool = False,
-    few_cells: bool = False,
     median_accuracy: int | None = None,
     distinct_error: float | None = None,
+    grid: DataFrame | None = None,
 ) -> DataFrame:
     """One row per area type, area and year that occurs.
 
-    few_cells says that the number of cells has been checked to be small.
+    Medians are computed for the cells of grid only, if one is given.
     median_accuracy switches to approximate medians with that accuracy, distinct_error
     to an approximate number of bidders with that relative error.
     """
@@ -172,7 +171,10 @@ def area_year_cells(
         .where(on_grid)
     )
     if not median_accuracy:
-        cells = cells.join(grouped_medians(facts.where(on_grid), CELL, medians, few_cells), CELL, "left")
+        wanted = facts.where(on_grid)
+        if grid is not None:
+            wanted = wanted.join(grid.select(*CELL), CELL, "left_semi")
+        cells = cells.join(grouped_medians(wanted, CELL, medians), CELL, "left")
     homestead = {name: f"if(_has_pre_year, {name}, null)" for name in homestead_measures(snapshot_year)}
     shares = {
         "perc_removed": pct("num_removed", "num_advertised"),
@@ -217,7 +219,7 @@ def summarise_by_area(
     counts is the area_property_count table. Results without an area are left out, as
     the published tables do (N17), unless keep_unmatched puts them under Unknown.
     """
-    grid, few_cells = small_table(area_year_grid(_areas_of(counts, area_types), years))
+    grid = area_year_grid(_areas_of(counts, area_types), years)
     cells = area_year_cells(
         results,
         area_types,
@@ -225,9 +227,9 @@ def summarise_by_area(
         snapshot_year,
         bid_measures,
         keep_unmatched,
-        few_cells,
         median_accuracy,
         distinct_error,
+        grid,
     )
     dense = with_sql(
         _densify(grid, cells, CELL),
@@ -241,7 +243,7 @@ def summarise_by_area(
 
 
 def _areas_of(counts: DataFrame, area_types: Sequence[str]) -> DataFrame:
-    listed = ", ".join(f"'{name}'" for name in area_types)
+    listed = ", ".join(literal(name) for name in area_types)
     return counts.where(f"type in ({listed})")
 
 
@@ -268,14 +270,13 @@ def summarise_advertised(
 ) -> DataFrame:
     """Summary of an advertised list on the area grid, for one or more area types."""
     keys = ["type", "area"]
-    areas, few_areas = small_table(_areas_of(counts, area_types))
+    areas = _areas_of(counts, area_types)
     facts = by_area(advertised, area_types, ADVERTISED_INPUTS)
     facts = facts.fillna({"area": UNKNOWN}) if keep_unmatched else facts.where("area is not null")
     medians = grouped_medians(
-        facts,
+        facts.join(areas.select(*keys), keys, "left_semi"),
         keys,
         {"median_lien_amount": "lien_amount", "median_assessed_value": "assessment"},
-        few_areas,
     )
     cells = aggregate_sql(facts, keys, advertised_measures()).join(medians, keys, "left")
     dense = with_sql(

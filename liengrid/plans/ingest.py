@@ -81,8 +81,8 @@ def type_history(
         "pin": f"concat({block}, {lot})",
         "homestead": yes_no("homestead = '1'"),
         "auction_year": f"{typed['tax_year']} + 1",
-        "auction_type": f"""case when `{path}` like '%assignment%' then 'assignment_sale'
-            when `{path}` like '%certificate%' then 'certificate_sale' end""",
+        "auction_type": f"""case when substring_index(`{path}`, '/', -1) like '%assignment%' then 'assignment_sale'
+            when substring_index(`{path}`, '/', -1) like '%certificate%' then 'certificate_sale' end""",
     }
     text = clean_raw(raw, HISTORY_NAMES, keep=[path, "removed_date", *typed])
     results = with_sql(text, typed | _removal(date_formats) | derived)

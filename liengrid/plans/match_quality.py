@@ -11,7 +11,6 @@ from liengrid.operators.columns import aggregate_sql, names_sql, select_sql, wit
 from liengrid.operators.grid import by_area
 from liengrid.operators.matching import left_match
 from liengrid.operators.quantiles import grouped_medians
-from liengrid.operators.small import small_table
 from liengrid.plans.area_summary import IS_HOMEOWNER
 
 # The order of the stacked blocks and the label of each.
@@ -44,8 +43,7 @@ def match_quality(advertised: DataFrame, counts: DataFrame | None = None) -> Dat
         | {f"mean_{c}": strict(money_mean(c), c) for c in VALUES}
         | {f"sum_{c}": strict(money_sum(c), c) for c in VALUES},
     )
-    few = counts is not None and small_table(counts)[1]
-    medians = grouped_medians(facts, keys, {f"median_{c}": c for c in VALUES}, few)
+    medians = grouped_medians(facts, keys, {f"median_{c}": c for c in VALUES})
     labels = " ".join(f"when '{name}' then '{label}'" for name, label in TYPE_LABELS.items())
     columns = {
         "area_name": "area",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liengrid.functions.nulls import literal
 from liengrid.functions.numbers import pct
 from liengrid.operators.binning import equal_count_bins
 from liengrid.operators.columns import aggregate_sql, select_sql, with_sql
@@ -14,7 +15,7 @@ from liengrid.operators.grid import by_area
 from liengrid.operators.matching import left_match
 from liengrid.plans.area_summary import IS_HOMEOWNER, occupancy_measures
 
-DISTRICT_ORDER = [str(number) for number in range(1, 15)]
+DISTRICT_ORDER = [f"District {number}" for number in range(1, 15)]
 
 # Printed column labels of the district report.
 DISTRICT_LABELS = {
@@ -76,9 +77,11 @@ def district_report(
         "perc_owner_occupied": pct("num_owner_occupied", "num_properties"),
         "perc_owner_occupied_removed": pct("num_owner_occupied_removed", "num_owner_occupied"),
     }
-    listed = ", ".join(f"'{name}'" for name in order)
+    listed = ", ".join(literal(name) for name in order)
     place = F.expr(f"nullif(array_position(array({listed}), id), 0)").asc_nulls_last()
-    ordered = with_sql(table, shares).orderBy(place, F.expr("collate(id, 'UNICODE')").asc_nulls_last())
+    # A name that is not listed comes after the listed ones, by the number in it.
+    number = F.expr("try_cast(regexp_extract(id, '[0-9]+', 0) as int)").asc_nulls_last()
+    ordered = with_sql(table, shares).orderBy(place, number, F.expr("collate(id, 'UNICODE')").asc_nulls_last())
     return select_sql(ordered, {label if labels else name: name for name, label in DISTRICT_LABELS.items()})
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from liengrid.functions.nulls import blank_to_null
+
 AUCTION_INDEX_SCHEMA = T.StructType(
     [
         T.StructField("auction_label", T.StringType()),
@@ -22,7 +24,12 @@ AUCTION_INDEX_SCHEMA = T.StructType(
 
 def read_auction_index(spark: SparkSession, path: str) -> DataFrame:
     """The auction index, with declared types; blanks and NA are null."""
-    return spark.read.schema(AUCTION_INDEX_SCHEMA).csv(path, header=True, nullValue="NA")
+    names = AUCTION_INDEX_SCHEMA.fieldNames()
+    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    rows = spark.read.schema(text).csv(path, header=True, escape='"', enforceSchema=False)
+    return rows.selectExpr(
+        *[f"cast({blank_to_null(f.name)} as {f.dataType.simpleString()}) as {f.name}" for f in AUCTION_INDEX_SCHEMA]
+    )
 
 
 def find_files(
@@ -42,21 +49,28 @@ def find_files(
 
 def _reader(spark: SparkSession, multi_line: bool):
     return spark.read.options(
-        header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=multi_line
+        header=True,
+        ignoreLeadingWhiteSpace=True,
+        ignoreTrailingWhiteSpace=True,
+        multiLine=multi_line,
+        escape='"',
+        enforceSchema=False,
     )
 
 
-def read_text_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """One CSV file, or several of the same layout, all columns trimmed text."""
     return _reader(spark, multi_line).csv(path)
 
 
-def read_text_csvs(spark: SparkSession, paths: Sequence[str], multi_line: bool = False) -> DataFrame:
+def read_text_csvs(spark: SparkSession, paths: Sequence[str], multi_line: bool = True) -> DataFrame:
     """S3, U4: CSV files of any layout, stacked by column name, with their source path.
 
     Files with the same header are read by one scan, so the plan grows with the number
     of layouts and not with the number of files.
     """
+    if not paths:
+        raise FileNotFoundError("no CSV files to read: no file name matched")
     layouts: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
         header = tuple(read_text_csv(spark, path, multi_line).columns)

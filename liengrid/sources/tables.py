@@ -61,7 +61,7 @@ def write_summary_csv(df: DataFrame, path: str) -> None:
 
     Part files follow each other in row order; a summary table fits in one.
     """
-    df.write.mode("overwrite").option("nullValue", "NA").csv(path, header=True)
+    df.write.mode("overwrite").options(nullValue="NA", escape='"').csv(path, header=True)
 
 
 def staging_folder(spark: SparkSession) -> str:

@@ -9,7 +9,6 @@ import pytest
 
 from liengrid.operators.binning import equal_count_bins
 from liengrid.operators.quantiles import grouped_medians, grouped_quantiles
-from liengrid.operators.small import small_table
 
 
 def plain_quantile(values, part, whole):
@@ -32,15 +31,14 @@ def sample(seed):
     return rows
 
 
-@pytest.mark.parametrize("few_groups", [True, False])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_quantiles_match_sorting(spark, few_groups, seed):
+def test_quantiles_match_sorting(spark, seed):
     rows = sample(seed)
     df = spark.createDataFrame(rows, "g string, v double").withColumnRenamed("v", "value")
     fractions = [(0, 5), (1, 5), (1, 2), (4, 5), (5, 5)]
     found = {
         r.g: r.value
-        for r in grouped_quantiles(df, ["g"], ["value"], fractions, few_groups).collect()
+        for r in grouped_quantiles(df, ["g"], ["value"], fractions).collect()
     }
     groups = {g: [v for k, v in rows if k == g and v is not None] for g, _ in rows}
     expected = {g: [plain_quantile(vs, *f) for f in fractions] for g, vs in groups.items() if vs}
@@ -52,7 +50,7 @@ def test_quantiles_match_sorting(spark, few_groups, seed):
 def test_medians_of_several_columns(spark):
     rows = [("a", 1.0, 10.0), ("a", 2.0, None), ("a", 4.0, 30.0), ("a", 5.0, None), ("b", 7.0, None)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
-    medians = grouped_medians(df, ["g"], {"mx": "x", "my": "y"}, few_groups=True)
+    medians = grouped_medians(df, ["g"], {"mx": "x", "my": "y"})
     assert {r.g: (r.mx, r.my) for r in medians.collect()} == {"a": (3.0, 20.0), "b": (7.0, None)}
 
 
@@ -86,15 +84,6 @@ def test_equal_breaks_are_merged(spark):
 def test_no_single_task_holds_a_group(spark):
     """Only buckets, values and picked rows are shuffled, each after a partial sum."""
     df = spark.range(1000).selectExpr("id % 3 as g", "cast(id as double) as x")
-    plan = grouped_medians(df, ["g"], {"m": "x"}, few_groups=True)._jdf.queryExecution().toString()
+    plan = grouped_medians(df, ["g"], {"m": "x"})._jdf.queryExecution().toString()
     assert "percentile" not in plan and "collect_" not in plan
-    physical = plan[plan.index("== Physical Plan ==") :]
-    assert "BroadcastHashJoin" in physical and "NestedLoop" not in physical
-
-
-def test_small_table_is_local_and_a_large_one_is_not(spark):
-    df = spark.range(10).selectExpr("id", "string(id) as t")
-    local, small = small_table(df, 10)
-    assert small and sorted(map(tuple, local.collect())) == sorted(map(tuple, df.collect()))
-    same, small = small_table(df, 9)
-    assert not small and same is df
+    assert "NestedLoop" not in plan[plan.index("== Physical Plan ==") :]

@@ -73,10 +73,7 @@ def test_grid_uses_the_distinct_years_of_an_index(spark, counts):
     assert grid.count() == 8 and {r.auction_year for r in grid.collect()} == {2019, 2020}
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_area_year_summary(spark, results, counts, few, monkeypatch):
-    if not few:
-        monkeypatch.setattr("liengrid.plans.area_summary.small_table", lambda df: (df, False))
+def test_area_year_summary(spark, results, counts):
     summary = summarise_by_area(results, counts, [2019, 2020], ["csa"])
     assert summary.columns == AREA_YEAR_COLUMNS
     rows = summary.collect()
