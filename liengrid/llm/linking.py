@@ -35,12 +35,15 @@ def linked_groups(
     confirm: Callable[[DataFrame], DataFrame],
     given: DataFrame | None = None,
     rounds: int = 3,
+    once: str = "true",
 ) -> DataFrame:
     """id and component of the items that have a link; the least id names a component.
 
     keys: (key, id) rows. features: (id, ...) with what near needs, a condition between
     items x and y that holds for every linked pair, and closeness, greater for nearer ones.
     confirm keeps the linked ones of pairs (a, b). given has links (a, b) known beforehand.
+    once, a condition on x.key and the features of x and y, is to hold for just one of the keys that two near
+    items share, so that their pair is made once.
     """
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("items")).where("items > 1")
     live = stage(keys.join(shared.select("key", "hub"), "key").select("key", "id", "hub"))
@@ -65,6 +68,6 @@ def linked_groups(
         open_rows = _open_rows(live, links)
 
     rows = stage(open_rows.join(features, "id"))
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.part < y.part and ({near})"))
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.part < y.part and ({near}) and ({once})"))
     pairs = pairs.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
     return components(links.unionByName(stage(confirm(pairs))))

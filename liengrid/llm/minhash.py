@@ -26,7 +26,7 @@ from liengrid.sources.tables import stage
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 75
 COORDINATES = 48
-BITS = 16
+BITS = 14
 CHUNK = 4
 CHUNKS = COORDINATES // CHUNK
 MAX_DIFFERENT = 23
@@ -38,7 +38,7 @@ _SETS = "doc_id long, n_shingles long, set_low long, set_high long, signature bi
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """MinHash signatures of sets, one row of COORDINATES 16-bit values per set; 0 for an empty set."""
+    """MinHash signatures of sets, one row of COORDINATES values of BITS bits per set; 0 for an empty set."""
     result = np.zeros((len(bounds) - 1, COORDINATES), np.uint16)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
@@ -95,43 +95,50 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-PER_LONG = 3
+# A chunk in one long: a free bit above each of its values.
 _SLOT = BITS + 1
-_LONGS = -(-COORDINATES // PER_LONG)
-_MARKS = sum(1 << (_SLOT * i + BITS) for i in range(PER_LONG))
+_MARKS = sum(1 << (_SLOT * i + BITS) for i in range(CHUNK))
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures as longs of three values with a free bit above each."""
+    """Signatures as one long per chunk."""
     for batch in batches:
         raw = b"".join(batch.column("signature").to_pylist())
-        rows = np.frombuffer(raw, np.uint16).reshape(-1, COORDINATES)
-        longs = np.zeros((len(rows), _LONGS), np.int64)
-        for c in range(COORDINATES):
-            longs[:, c // PER_LONG] |= rows[:, c].astype(np.int64) << (_SLOT * (c % PER_LONG))
+        rows = np.frombuffer(raw, np.uint16).reshape(-1, COORDINATES).astype(np.int64)
+        longs = [sum(rows[:, c * CHUNK + i] << (_SLOT * i) for i in range(CHUNK)) for c in range(CHUNKS)]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                batch.column("n_shingles"),
-                *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(_LONGS)],
-            ],
-            names=["id", "n_shingles", *[f"s{i}" for i in range(_LONGS)]],
+            [batch.column("id"), batch.column("n_shingles"), *[pa.array(values, pa.int64()) for values in longs]],
+            names=["id", "n_shingles", *[f"s{c}" for c in range(CHUNKS)]],
         )
 
 
-def _equal_values(i: int) -> str:
-    """Number of equal values in long i of x and y: a mark stays where nothing is taken from it."""
-    return f"bit_count(({_MARKS}L - (x.s{i} ^ y.s{i})) & {_MARKS}L)"
+def _equal_values(c: int) -> str:
+    """Number of equal values in chunk c of x and y: a mark stays where nothing is taken from it."""
+    return f"bit_count(({_MARKS}L - (x.s{c} ^ y.s{c})) & {_MARKS}L)"
 
 
-_UNUSED = _LONGS * PER_LONG - COORDINATES
-EQUAL = " + ".join(_equal_values(i) for i in range(_LONGS))
+EQUAL = " + ".join(_equal_values(c) for c in range(CHUNKS))
 NEAR = (
     f"x.n_shingles * 100 >= y.n_shingles * {SIMILAR_PERCENT} and y.n_shingles * 100 >= x.n_shingles * {SIMILAR_PERCENT}"
-    f" and {EQUAL} >= {COORDINATES - MAX_DIFFERENT + _UNUSED}"
+    f" and {EQUAL} >= {COORDINATES - MAX_DIFFERENT}"
 )
 
 
+def _first_shared() -> str:
+    """Whether x.key is the first key that x and y share.
+
+    That is in the first chunk with enough equal values; if all its values are equal, it is the
+    first pattern of the chunk, else just one pattern of it is shared.
+    """
+    enough = " ".join(
+        f"when {_equal_values(c)} >= {KEPT_VALUES} then {c * (CHUNK + 1)} + {_equal_values(c)}" for c in range(CHUNKS)
+    )
+    tag = f"cast(shiftright(x.key, {KEPT_VALUES * BITS}) as int)"
+    chunk = f"{tag} div {len(PATTERNS)} * {CHUNK + 1}"
+    whole = f"if({tag} % {len(PATTERNS)} = 0, {chunk} + {CHUNK}, -1)"
+    return f"case {enough} end in ({chunk} + {KEPT_VALUES}, {whole})"
+
+
 def _similar_pairs(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -173,7 +180,7 @@ def near_duplicates(
     classes = full.groupBy(*identity).agg({"doc_id": "min", "signature": "min"})
     classes = stage(classes.withColumnsRenamed({"min(doc_id)": "id", "min(signature)": "signature"}))
     keys = classes.select("id", "signature").mapInArrow(_key_rows, "key long, id long")
-    longs = ", ".join(f"s{i} long" for i in range(_LONGS))
+    longs = ", ".join(f"s{c} long" for c in range(CHUNKS))
     features = classes.select("id", "n_shingles", "signature").mapInArrow(
         _feature_rows, f"id long, n_shingles long, {longs}"
     )
@@ -189,7 +196,7 @@ def near_duplicates(
     members = stage(full.join(classes.drop("signature"), identity).select("doc_id", "id").distinct())
     least = members.groupBy("doc_id").agg({"id": "min"}).withColumnRenamed("min(id)", "a")
     given = members.join(least, "doc_id").where("id <> a").selectExpr("a", "id as b")
-    linked = linked_groups(keys, features, NEAR, EQUAL, confirm, given)
+    linked = linked_groups(keys, features, NEAR, EQUAL, confirm, given, once=_first_shared())
     labels = members.join(linked, "id", "left").selectExpr("doc_id", "coalesce(component, id) as component_id")
     labels = labels.groupBy("doc_id").agg({"component_id": "min"}).withColumnRenamed("min(component_id)", "component_id")
     return sets.select("doc_id", "n_shingles").join(labels, "doc_id", "left").selectExpr(
