@@ -56,8 +56,7 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").selectExpr("doc_id", "text", _remainder(4))
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(documents.where("not held_out").join(labels, "doc_id"))
+    model = toxicity.fit(documents.where("not held_out"), _table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(documents, model).select("doc_id", "held_out", "score", "predicted")
 
 

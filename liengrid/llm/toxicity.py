@@ -28,6 +28,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from liengrid.llm import texts
+from liengrid.sources.tables import stage
 
 LENGTH = 4
 GAP_FACTOR = np.float32(0.6)
@@ -137,22 +138,34 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.values(data, offsets) + self.shift, -500, 500)))
 
 
-def learning_rows(labelled: DataFrame, per_label: int = ROWS_PER_LABEL) -> DataFrame:
+def labelled_draws(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """toxic, draw (a hash of the text), long and blank of the labelled documents: their texts stay behind."""
+    key = "toxic" if labels is None else "doc_id"
+    brief = documents.where("text is not null").selectExpr(
+        key,
+        "xxhash64(text) as draw",
+        f"length(text) > {LEARNT_CHARACTERS} as long",
+        "length(trim(text)) = 0 as blank",
+    )
+    if labels is not None:
+        brief = brief.join(labels.select("doc_id", "toxic"), "doc_id").drop("doc_id")
+    return brief.where("toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
+
+
+def learning_rows(documents: DataFrame, draws: DataFrame, per_label: int = ROWS_PER_LABEL) -> DataFrame:
     """A bounded sample of (text, toxic): per_label rows of each label, by the hash of the text.
 
     Texts of up to LEARNT_CHARACTERS come first, as it is plainer in them what the label is for;
-    of longer ones, taken if there are too few, the beginning is learnt.
+    of longer ones, taken if there are too few, the beginning is learnt. Equal texts with one label
+    are one row.
     """
-    rows = labelled.selectExpr(
-        f"substring(text, 1, {LEARNT_CHARACTERS}) as text",
-        "cast(toxic as int) as toxic",
-        f"length(text) > {LEARNT_CHARACTERS} as long",
-        "xxhash64(text) as draw",
-    )
-    rows = rows.where("toxic in (0, 1) and length(trim(text)) > 0").distinct()
-    order = Window.partitionBy("toxic").orderBy("long", "draw", "text")
-    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
-    return rows.orderBy("place", "toxic").select("text", "toxic")
+    rows = draws.where("not blank").select("toxic", "draw", "long").distinct()
+    order = Window.partitionBy("toxic").orderBy("long", "draw")
+    chosen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).drop("long")
+    # At most 2 * per_label rows go to the documents, wherever these lie.
+    found = documents.select("text").join(F.broadcast(chosen), F.expr("xxhash64(text) = draw"))
+    found = found.selectExpr(f"substring(text, 1, {LEARNT_CHARACTERS}) as text", "toxic", "place")
+    return found.dropDuplicates(["toxic", "place"]).orderBy("place", "toxic").select("text", "toxic")
 
 
 def _support_vectors(inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -184,16 +197,20 @@ def _logistic(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(float(weights[0]), 0.0), float(weights[1])
 
 
-def fit(labelled: DataFrame, per_label: int = ROWS_PER_LABEL) -> ToxicityModel:
-    """Learn from rows (text, toxic 0 or 1); at most 2 * per_label rows, fitted on the driver.
+def fit(documents: DataFrame, labels: DataFrame | None = None, per_label: int = ROWS_PER_LABEL) -> ToxicityModel:
+    """Learn from at most 2 * per_label rows, fitted on the driver.
+
+    documents has (text, toxic 0 or 1), or (doc_id, text) with labels (doc_id, toxic). Other values of toxic
+    and null texts are left out.
 
     Half of the rows train the machine, half the curve; the share of toxic rows among all labelled
     ones sets the curve's level. Without rows of both labels every score is the share of toxic rows.
     """
-    usable = labelled.where("toxic in (0, 1) and text is not null")
-    total, toxic_total = usable.selectExpr("count(*)", "count_if(toxic = 1)").first()
+    documents = documents.withColumn("text", F.col("text").cast("string"))
+    draws = stage(labelled_draws(documents, labels))
+    total, toxic_total = draws.selectExpr("count(*)", "count_if(toxic = 1)").first()
     share = (toxic_total + 0.5) / (total + 1) if total else 0.0
-    sample = learning_rows(usable, per_label).toArrow()
+    sample = learning_rows(documents, draws, per_label).toArrow()
     toxic = np.array(sample["toxic"].to_pylist(), bool)
     level = float(np.log(share / (1 - share))) if share else -500.0
     constant = ToxicityModel(np.zeros(SLOTS, np.float32), 0.0, 0.0, level)
