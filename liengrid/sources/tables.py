@@ -57,11 +57,8 @@ def read_parcels(spark: SparkSession, path: str, projection: LambertConic | None
 
 
 def write_summary_csv(df: DataFrame, path: str) -> None:
-    """K2: CSV with a header and NA for null, rows in the order of df.
-
-    Part files follow each other in row order; a summary table fits in one.
-    """
-    df.write.mode("overwrite").options(nullValue="NA", escape='"').csv(path, header=True)
+    """K2: one CSV file with a header and NA for null, rows in the order of df, for tables of summary size."""
+    df.coalesce(1).write.mode("overwrite").options(nullValue="NA", escape='"').csv(path, header=True)
 
 
 def staging_folder(spark: SparkSession) -> str:

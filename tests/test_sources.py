@@ -134,3 +134,10 @@ def test_stage_writes_to_the_shared_folder(spark):
     staged = tables.stage(spark.range(5).selectExpr("id", "id * 2 as twice"))
     assert staged.count() == 5
     assert spark.conf.get("spark.checkpoint.dir") in staged.inputFiles()[0]
+
+
+def test_summary_is_one_file_with_one_header(spark, tmp_path):
+    df = spark.range(8).selectExpr("id as n", "if(id = 3, null, id) as x").repartition(4).orderBy("n")
+    tables.write_summary_csv(df, str(tmp_path / "summary"))
+    (part,) = (tmp_path / "summary").glob("part-*")
+    assert part.read_text().splitlines() == ["n,x", *[f"{n},{'NA' if n == 3 else n}" for n in range(8)]]
