@@ -144,6 +144,15 @@ def sequence_hashes(hashes: np.ndarray, bounds: np.ndarray, salt: int = 0) -> np
     return mix((total[bounds[1:]] - total[bounds[:-1]]) * _down.upto(len(hashes) + 1)[bounds[:-1]] + lengths)
 
 
+def left_out_hashes(hashes: np.ndarray, bounds: np.ndarray, owner: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each index in left the sequence hash (see above) of its sequence, owner, without this one hash."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes) * _up.upto(len(hashes)), out=total[1:])
+    first, last = bounds[owner[left]], bounds[owner[left] + 1]
+    rest = total[left] - total[first] + (total[last] - total[left + 1]) * _down.upto(2)[1]
+    return mix(rest * _down.upto(len(hashes) + 1)[first] + (last - first - 1).astype(np.uint64))
+
+
 def gram_hashes(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive words of one text, and the index of the first word of each."""
     count = len(hashes) - k + 1
