@@ -5,8 +5,9 @@ value with probability 1 - s. Pairs that differ in at most MAX_DIFFERENT values
 found: by the pigeonhole principle, one of the CHUNKS chunks of four values has at most
 MAX_DIFFERENT // CHUNKS = 1 error, so enumerating the value that may differ leaves a key of the
 other three that both share. A pair at the similarity threshold 0.75 differs in 12 values on
-average; more than MAX_DIFFERENT has a chance of less than one in 10,000, and nearly all of these
-pairs still share a key. Links are confirmed on the full shingle sets.
+average; it shares no key with a chance of 1 in 10 million. Of pairs that share a key, those with fewer
+than LEAST_EQUAL equal values are left out, at the threshold 4 in 100 million. Links are confirmed
+on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ BITS = 14
 CHUNK = 4
 CHUNKS = COORDINATES // CHUNK
 MAX_DIFFERENT = 23
+LEAST_EQUAL = 19
 KEPT_VALUES = CHUNK - MAX_DIFFERENT // CHUNKS
 PATTERNS = list(combinations(range(CHUNK), KEPT_VALUES))
 
@@ -120,7 +122,7 @@ def _equal_values(c: int) -> str:
 EQUAL = " + ".join(_equal_values(c) for c in range(CHUNKS))
 NEAR = (
     f"x.n_shingles * 100 >= y.n_shingles * {SIMILAR_PERCENT} and y.n_shingles * 100 >= x.n_shingles * {SIMILAR_PERCENT}"
-    f" and {EQUAL} >= {COORDINATES - MAX_DIFFERENT}"
+    f" and {EQUAL} >= {LEAST_EQUAL}"
 )
 
 
