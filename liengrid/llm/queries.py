@@ -13,6 +13,7 @@ from liengrid.llm import (
     minhash,
     mixing_model,
     secret_scan,
+    shallot,
     token_counts,
     toxicity,
     vector_search,
@@ -88,6 +89,10 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_model.score_documents(documents)
 
 
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_neighbours": vector_neighbours,
     "op2_near_duplicates": near_duplicates,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets,
     "op9_bpe_automaton": encoded,
     "op10_model_scores": model_scores,
+    "op11_centroid_clusters": centroid_clusters,
 }
 
 
