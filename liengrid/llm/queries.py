@@ -12,6 +12,7 @@ from liengrid.llm import (
     line_dedup,
     minhash,
     mixing_model,
+    packing,
     secret_scan,
     shallot,
     token_counts,
@@ -93,6 +94,10 @@ def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shallot.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_neighbours": vector_neighbours,
     "op2_near_duplicates": near_duplicates,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_automaton": encoded,
     "op10_model_scores": model_scores,
     "op11_centroid_clusters": centroid_clusters,
+    "op12_packed_sequences": packed_sequences,
 }
 
 
