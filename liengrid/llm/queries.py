@@ -13,6 +13,7 @@ from liengrid.llm import (
     minhash,
     mixing_model,
     packing,
+    prefix_trie,
     secret_scan,
     shallot,
     token_counts,
@@ -98,6 +99,10 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_neighbours": vector_neighbours,
     "op2_near_duplicates": near_duplicates,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_model_scores": model_scores,
     "op11_centroid_clusters": centroid_clusters,
     "op12_packed_sequences": packed_sequences,
+    "op13_prefix_trie": conversation_trie,
 }
 
 
