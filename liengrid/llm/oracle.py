@@ -65,7 +65,7 @@ below as (select p.node, sum(n.saved) as saved_tokens, count(*) filter (n.leaf)
   from nodes n join paths p on p.conv_id = n.conv_id and p.depth <= n.depth group by p.node),
 children as (select parent as node, count(*) as n_children from parents group by parent)
 select n.conv_id, cast(n.depth as bigint) as depth, up.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children,
-  n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(ends) as ends_sha256
+  n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
 from nodes n join below using (node) left join children using (node) left join parents using (node) left join nodes up on up.node = parents.parent"""
 
 

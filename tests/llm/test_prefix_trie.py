@@ -72,7 +72,6 @@ def test_drawn_conversations_with_nulls_ties_and_repeats(spark):
 
 def test_copies_long_conversations_and_hot_first_turns(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "CHUNK", 16)
-    monkeypatch.setattr(prefix_trie, "JOINED_IDS", 7)
     long = [("user", f"t{i % 9}") for i in range(300)]
     rows = [(c, t, *long[t]) for c in range(0, 60) for t in range(120 if c in (0, 30, 41) else 10)]
     rows += [(c, t, "user", "hello" if t == 0 else f"own {c} {t}") for c in range(100, 160) for t in range(4)]
@@ -90,7 +89,6 @@ def test_a_full_sketch_changes_nothing(spark, monkeypatch):
     expected = plain(rows)
     monkeypatch.setattr(prefix_trie, "LEAST_CELLS", 64)
     monkeypatch.setattr(prefix_trie, "MOST_CELLS", 64)
-    monkeypatch.setattr(prefix_trie, "BLOCK", 16)
     assert built(spark, rows) == expected
 
 
