@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from liengrid.functions.geometry import LambertConic
 from liengrid.operators.grid import AREA_TYPES, area_property_count, area_year_grid
@@ -19,7 +20,7 @@ from liengrid.plans.ingest import type_advertised, type_history, type_latest, wi
 from liengrid.plans.match import combine_results, match_advertised, match_history, match_latest
 from liengrid.plans.match_quality import match_quality
 from liengrid.plans.reports import choropleth_layer, district_report, homeowner_lien_bins
-from liengrid.sources.files import find_files, read_auction_index, read_text_csv, read_text_csvs
+from liengrid.sources.files import FILE_ORDER, find_layouts, read_auction_index, read_checked_csvs
 from liengrid.sources.tables import load_table, read_parcels, save_table, write_summary_csv
 
 # How an area type appears in the name of a summary.
@@ -43,13 +44,18 @@ class Inputs:
     projection: LambertConic | None = None
 
 
-def _by_number(df: DataFrame) -> list[str]:
-    """A total order of raw rows: the business number, then all other columns."""
+def _row_order(df: DataFrame) -> list[str]:
+    """The order of the rows in their files; of tables without one, business number, then all other columns."""
+    if FILE_ORDER in df.columns:
+        return [FILE_ORDER]
     return ["adv_number", *sorted(c for c in df.columns if c != "adv_number")]
 
 
 def build_tables(spark: SparkSession, inputs: Inputs, out: str) -> None:
-    """K1: reads the raw files and stores the typed, matched and dimension tables in out."""
+    """K1: reads the raw files and stores the typed, matched and dimension tables in out.
+
+    Rows of the result files that don't fit their header are in the table rejected_rows.
+    """
     save_table(read_parcels(spark, inputs.parcels, inputs.projection), f"{out}/real_property")
     parcels = load_table(spark, f"{out}/real_property")
     index = read_auction_index(spark, inputs.index)
@@ -57,16 +63,19 @@ def build_tables(spark: SparkSession, inputs: Inputs, out: str) -> None:
     areas = load_table(spark, f"{out}/area_property_count").select("area", "type")
     save_table(area_year_grid(areas, index), f"{out}/auction_year_area_index")
 
-    files = find_files(
-        spark, inputs.history_folder, inputs.history_name, excludes=str(inputs.snapshot_year)
+    layouts = find_layouts(
+        spark, inputs.history_folder, inputs.history_name, excludes=str(inputs.snapshot_year), glob="*.csv"
     )
-    history = with_auction_index(type_history(read_text_csvs(spark, files), keep_path=True), index)
-    in_order = ["path", *_by_number(history.drop("path", "block", "lot"))]
-    matched = match_history(history, parcels, in_order).drop("path")
+    yearly = read_checked_csvs(spark, layouts)
+    raw = yearly.rows.withColumn("path", F.col(f"{FILE_ORDER}.path"))
+    history = with_auction_index(type_history(raw), index)
+    matched = match_history(history, parcels, _row_order(history)).drop(FILE_ORDER)
     save_table(matched, f"{out}/auction_results_history", ["auction_year"])
 
-    latest = with_auction_index(type_latest(read_text_csv(spark, inputs.latest_report)), index)
-    save_table(match_latest(latest, parcels, _by_number(latest)), f"{out}/auction_results_latest")
+    report = read_checked_csvs(spark, find_layouts(spark, inputs.latest_report))
+    latest = with_auction_index(type_latest(report.rows), index)
+    save_table(match_latest(latest, parcels, _row_order(latest)).drop(FILE_ORDER), f"{out}/auction_results_latest")
+    save_table(yearly.rejected.unionByName(report.rejected), f"{out}/rejected_rows")
 
     results = combine_results(
         load_table(spark, f"{out}/auction_results_history"), load_table(spark, f"{out}/auction_results_latest")
@@ -75,7 +84,7 @@ def build_tables(spark: SparkSession, inputs: Inputs, out: str) -> None:
 
     for name, (raw, headers, year) in inputs.lists.items():
         listed = type_advertised(raw, year, headers)
-        save_table(match_advertised(listed, parcels, _by_number(listed)), f"{out}/{name}")
+        save_table(match_advertised(listed, parcels, _row_order(listed)).drop(FILE_ORDER), f"{out}/{name}")
         save_table(area_year_grid(areas, [year]), f"{out}/auction_year_area_index_{year}")
 
 

@@ -36,15 +36,16 @@ ADVERTISED_UPDATE_NAMES = {
 
 
 def clean_raw(raw: DataFrame, names: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """snake_case headers, release names, blanks as null; keep is left as it is.
+    """snake_case headers, release names, blanks as null; keep and what is no text are left as they are.
 
     Columns that are cast later need no cleaning: the casts take blanks and NA as null.
     Leaving them out keeps the code Spark generates for a whole table short enough for
     the JVM to compile.
     """
     headers = [names.get(header, header) for header in snake_names(raw.columns)]
-    cleaned = {c: f"`{c}`" if c in keep else blank_to_null(f"`{c}`") for c in headers}
-    return select_sql(raw.toDF(*headers), cleaned)
+    named = raw.toDF(*headers)
+    cleaned = {c: f"`{c}`" if c in keep or kind != "string" else blank_to_null(f"`{c}`") for c, kind in named.dtypes}
+    return select_sql(named, cleaned)
 
 
 def _casts(integers: Sequence[str], doubles: Sequence[str]) -> dict[str, str]:

@@ -87,7 +87,7 @@ def run(spark, tmp_path):
 def test_tables_and_summaries(spark, run):
     results = {r.adv_number: r for r in load_table(spark, f"{run}/tables/auction_results").collect()}
     assert results.keys() == {1, 2, 5}
-    assert (results[1].lien_amount, results[1].csa, results[1].auction_label) == (90.0, "C1", "2019 Sale")
+    assert (results[1].lien_amount, results[1].csa, results[1].auction_label) == (100.25, "C1", "2019 Sale")
     assert results[2].csa is None and results[5].removed_because == "Bankruptcy"
     first = load_table(spark, f"{run}/tables/advertised_first").first()
     assert (first.adv_number, first.lien_amount, first.objectid, first.x) == (3, 1200.5, "1", 1.0)
