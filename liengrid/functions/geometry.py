@@ -107,9 +107,47 @@ class LambertConic:
             'x', {self.false_easting!r}D + {radius} * sin({angle}),
             'y', {self.origin_radius + self.false_northing!r}D - {radius} * cos({angle}))"""
 
+    def inverse(self, x: str, y: str) -> str:
+        """G2 back: metres to struct(x, y) of longitude and latitude in degrees; the latitude by fixed-point steps."""
+        east, north = f"({x} - {self.false_easting!r}D)", f"({self.origin_radius + self.false_northing!r}D - {y})"
+        radius = f"sqrt({east} * {east} + {north} * {north})"
+        conformal = f"power({radius} / {self.radius_factor!r}D, {1 / self.cone!r}D)"
+        es = f"({self.eccentricity!r}D * sin(phi))"
+        step = f"pi() / 2 - 2 * atan({conformal} * power((1 - {es}) / (1 + {es}), {self.eccentricity / 2!r}D))"
+        lat = f"aggregate(sequence(1, {LATITUDE_STEPS}), pi() / 2 - 2 * atan({conformal}), (phi, i) -> {step})"
+        return f"""named_struct(
+            'x', {self.origin_lon!r}D + degrees(atan2({east}, {north}) / {self.cone!r}D),
+            'y', degrees({lat}))"""
+
     def forward_rings(self, rings: str) -> str:
         """G2 over every point of a polygon."""
-        return f"transform({rings}, ring -> transform(ring, p -> {self.forward('p.x', 'p.y')}))"
+        return over_points(rings, 2, self.forward)
+
+    def forward_all(self, geometry: str, kind: str) -> str:
+        """G2 over a point, line, polygon or multipolygon column; kind is its type, which says how deep it is."""
+        return over_points(geometry, nesting(kind), self.forward)
+
+
+# Each step brings the latitude nearer by the square of the eccentricity, about 150 times.
+LATITUDE_STEPS = 7
+
+
+def nesting(kind: str) -> int:
+    """How many arrays a type such as array<array<struct<x:double,y:double>>> has around its points."""
+    depth = 0
+    while kind.startswith("array<"):
+        kind, depth = kind[len("array<") : -1], depth + 1
+    if not kind.startswith("struct<"):
+        raise ValueError(f"points must be structs of x and y, not {kind}")
+    return depth
+
+
+def over_points(geometry: str, depth: int, change) -> str:
+    """change(x, y) for every point below `depth` arrays; what is null stays null."""
+    if depth == 0:
+        return f"if({geometry} is null, null, {change(f'{geometry}.x', f'{geometry}.y')})"
+    part = f"part{depth}"
+    return f"transform({geometry}, {part} -> {over_points(part, depth - 1, change)})"
 
 
 # Parameters of EPSG:2804 (Maryland state plane, metres, GRS 80).

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liengrid.functions.nulls import count_distinct_with_null, is_one_of, literal, strict, strict_count_if
@@ -197,9 +197,14 @@ def _densify(grid: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(cells, keys, "left").fillna({"num_advertised": 0})
 
 
+def area_year_order(area: str = "area") -> list[Column]:
+    """The published row order: area type, name by locale rules, year."""
+    return [F.col("type"), F.expr(f"collate({area}, 'UNICODE')").asc_nulls_last(), F.col("auction_year")]
+
+
 def sort_by_area_year(summary: DataFrame) -> DataFrame:
-    """The published row order."""
-    return summary.orderBy("type", F.expr("collate(area, 'UNICODE')").asc_nulls_last(), "auction_year")
+    """O2: the rows in the published order."""
+    return summary.orderBy(*area_year_order())
 
 
 def summarise_by_area(

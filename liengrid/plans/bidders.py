@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liengrid.functions.numbers import money_mean, money_sum, pct
@@ -41,4 +41,9 @@ def bidder_summary(results: DataFrame, snapshot_year: int = 2020) -> DataFrame:
         )
         | {"perc_homestead_properties": pct("num_homestead", "num_bids_won")},
     )
-    return summary.orderBy("auction_year", F.desc("num_bids_won"), "winning_bidder_name")
+    return summary.orderBy(*bidder_order())
+
+
+def bidder_order() -> list[Column]:
+    """O3: by year, the most bids won first."""
+    return [F.col("auction_year"), F.desc("num_bids_won"), F.col("winning_bidder_name")]

@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 
 from liengrid.functions.geometry import LambertConic
 from liengrid.operators.grid import AREA_TYPES, area_property_count, area_year_grid
-from liengrid.plans.area_summary import summarise_advertised, summarise_by_area
-from liengrid.plans.bidders import bidder_summary
+from liengrid.plans.area_summary import area_year_order, summarise_advertised, summarise_by_area
+from liengrid.plans.bidders import bidder_order, bidder_summary
 from liengrid.plans.ingest import type_advertised, type_history, type_latest, with_auction_index
 from liengrid.plans.match import combine_results, match_advertised, match_history, match_latest
-from liengrid.plans.match_quality import match_quality
-from liengrid.plans.reports import choropleth_layer, district_report, homeowner_lien_bins
+from liengrid.plans.match_quality import area_report, match_quality, report_order
+from liengrid.plans.reports import (
+    DISTRICT_ORDER,
+    choropleth_layer,
+    district_order,
+    district_report,
+    homeowner_lien_bins,
+    lien_bin_counts,
+)
 from liengrid.sources.files import FILE_ORDER, find_layouts, read_auction_index, read_checked_csvs
-from liengrid.sources.tables import load_table, read_parcels, save_table, write_summary_csv
+from liengrid.sources.tables import load_table, read_parcels, save_table, stage, write_summary_csv
 
 # How an area type appears in the name of a summary.
 AREA_LABELS = {"neighborhood": "neighborhood", "csa": "csa", "council_district": "district"}
@@ -108,13 +115,18 @@ def write_summaries(
     for area in area_types:
         label = AREA_LABELS[area]
         by_year = summarise_by_area(results, counts, years, [area], pre_year, snapshot_year)
-        write_summary_csv(by_year, f"{out}/results_summary_by_{label}_year")
+        write_summary_csv(by_year, f"{out}/results_summary_by_{label}_year", area_year_order())
         by_list = summarise_advertised(listed, counts, list_year, [area])
-        write_summary_csv(by_list, f"{out}/property_summary_by_{label}_{list_year}")
-    write_summary_csv(bidder_summary(results, snapshot_year), f"{out}/bidder_summary")
-    write_summary_csv(match_quality(listed, counts), f"{out}/match_quality")
-    write_summary_csv(district_report(results, snapshot_year, labels=True), f"{out}/district_report")
-    save_table(homeowner_lien_bins(listed), f"{out}/homeowner_lien_bins")
+        write_summary_csv(by_list, f"{out}/property_summary_by_{label}_{list_year}", area_year_order())
+    write_summary_csv(bidder_summary(results, snapshot_year), f"{out}/bidder_summary", bidder_order())
+    quality = stage(match_quality(listed, counts))
+    write_summary_csv(quality, f"{out}/match_quality", report_order())
+    write_summary_csv(area_report(quality), f"{out}/area_report", report_order())
+    districts = district_report(results, snapshot_year, labels=True)
+    write_summary_csv(districts, f"{out}/district_report", district_order(districts.columns[0], DISTRICT_ORDER))
+    bins = stage(homeowner_lien_bins(listed))
+    save_table(bins, f"{out}/homeowner_lien_bins")
+    save_table(lien_bin_counts(bins), f"{out}/homeowner_lien_bin_counts")
     if boundaries is not None:
         by_district = summarise_advertised(listed, counts, list_year, ["council_district"])
         save_table(choropleth_layer(boundaries, by_district), f"{out}/district_map")

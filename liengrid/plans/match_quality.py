@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liengrid.functions.nulls import strict
@@ -86,4 +86,9 @@ def area_report(summary: DataFrame) -> DataFrame:
     """R2: the match-quality table as printed, money and shares as text, by type and area."""
     table = drop_range(summary, "num_matched", "perc_matched")
     printed = select_sql(table, {name: _printed(name) for name in table.columns})
-    return printed.orderBy("type", F.expr("collate(area_name, 'UNICODE')").asc_nulls_last())
+    return printed.orderBy(*report_order())
+
+
+def report_order() -> list[Column]:
+    """By area type, then name by locale rules."""
+    return [F.col("type"), F.expr("collate(area_name, 'UNICODE')").asc_nulls_last()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liengrid.functions.nulls import literal
@@ -77,14 +77,18 @@ def district_report(
         "perc_owner_occupied": pct("num_owner_occupied", "num_properties"),
         "perc_owner_occupied_removed": pct("num_owner_occupied_removed", "num_owner_occupied"),
     }
-    listed = ", ".join(literal(name) for name in order)
-    place = F.expr(f"nullif(array_position(array({listed}), id), 0)").asc_nulls_last()
-    # A name that is not listed comes after the listed ones, by the number in it.
-    number = F.expr("try_cast(regexp_extract(id, '[0-9]+', 0) as int)").asc_nulls_last()
-    ordered = with_sql(table, shares).orderBy(place, number, F.expr("collate(id, 'UNICODE')").asc_nulls_last())
+    ordered = with_sql(table, shares).orderBy(*district_order("id", order))
     return select_sql(ordered, {label if labels else name: name for name, label in DISTRICT_LABELS.items()})
 
 
+def district_order(name: str, order: Sequence[str]) -> list[Column]:
+    """Listed districts in the given order, then the others by the number in their name and the name."""
+    listed = ", ".join(literal(district) for district in order)
+    place = F.expr(f"nullif(array_position(array({listed}), `{name}`), 0)").asc_nulls_last()
+    number = F.expr(f"try_cast(regexp_extract(`{name}`, '[0-9]+', 0) as int)").asc_nulls_last()
+    return [place, number, F.expr(f"collate(`{name}`, 'UNICODE')").asc_nulls_last()]
+
+
 def choropleth_layer(
     boundaries: DataFrame, summary: DataFrame, measures: Sequence[str] = MAP_MEASURES
 ) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liengrid.functions.geometry import LambertConic
+from liengrid.functions.numbers import plain_number
 
 # The parcel attributes that are used.
 PARCEL_COLUMNS = [
@@ -49,16 +50,31 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parcels(spark: SparkSession, path: str, projection: LambertConic | None = None) -> DataFrame:
-    """Parcel attributes and polygon rings, optionally projected from degrees."""
+    """Parcel attributes and shapes of any nesting, optionally projected from degrees."""
     parcels = spark.read.parquet(path).select(*PARCEL_COLUMNS, "geometry")
     if projection is not None:
-        parcels = parcels.withColumn("geometry", F.expr(projection.forward_rings("geometry")))
+        kind = parcels.schema["geometry"].dataType.simpleString()
+        parcels = parcels.withColumn("geometry", F.expr(projection.forward_all("geometry", kind)))
     return parcels
 
 
-def write_summary_csv(df: DataFrame, path: str) -> None:
-    """K2: one CSV file with a header and NA for null, rows in the order of df, for tables of summary size."""
-    df.coalesce(1).write.mode("overwrite").options(nullValue="NA", escape='"').csv(path, header=True)
+def published_form(df: DataFrame) -> DataFrame:
+    """K2: all columns as text, numbers as plain_number prints them, null as NA."""
+    numeric = ("double", "float", "decimal")
+    texts = {c: plain_number(f"`{c}`") if kind.startswith(numeric) else f"cast(`{c}` as string)" for c, kind in df.dtypes}
+    return df.selectExpr(*[f"coalesce({sql}, 'NA') as `{c}`" for c, sql in texts.items()])
+
+
+def write_summary_csv(df: DataFrame, path: str, order: Sequence[Column] = ()) -> None:
+    """K2: one CSV file in the published form, with a header, for tables of summary size.
+
+    Rows are gathered first and sorted by order then, so the file has that order. Without it rows come as
+    they are gathered.
+    """
+    gathered = df.repartition(1)
+    if order:
+        gathered = gathered.sortWithinPartitions(*order)
+    published_form(gathered).write.mode("overwrite").options(escape='"', emptyValue="").csv(path, header=True)
 
 
 def staging_folder(spark: SparkSession) -> str:

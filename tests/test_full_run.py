@@ -101,7 +101,7 @@ def test_tables_and_summaries(spark, run):
         ("Unknown", "2019"),
         ("Unknown", "2020"),
     ]
-    assert (by_year[0]["num_removed"], by_year[0]["sum_lien_amount"]) == ("1", "90.0")
+    assert (by_year[0]["num_removed"], by_year[0]["sum_lien_amount"]) == ("0", "100.25")
     assert (by_year[1]["num_owner_occupied_removed"], by_year[2]["num_removed"]) == ("1", "NA")
     by_list = read_summary(f"{run}/out/property_summary_by_district_2021")
     assert (by_list[0]["area"], by_list[0]["num_owner_occupied_not_vacant"]) == ("District 1", "1")
@@ -110,4 +110,7 @@ def test_tables_and_summaries(spark, run):
     assert {r["num_matched"] for r in read_summary(f"{run}/out/match_quality")} == {"0", "1"}
     bins = load_table(spark, f"{run}/out/homeowner_lien_bins").collect()
     assert [(r.lien_thousands, r.lien_bin) for r in bins] == [(1.5, 1)]
+    assert load_table(spark, f"{run}/tables/rejected_rows").count() == 0
+    assert load_table(spark, f"{run}/out/homeowner_lien_bin_counts").first().num_properties == 1
+    assert {r["type"] for r in read_summary(f"{run}/out/area_report")} == {r["type"] for r in read_summary(f"{run}/out/match_quality")}
     assert load_table(spark, f"{run}/out/district_map").first().num_advertised == 1

@@ -13,7 +13,8 @@ VIEWS = {
         select c_custkey as objectid, concat_ws(' ', c_custkey, n_name) as fulladdr, c_name as owner_1,
             cast(nullif(c_custkey, 42) as varchar) as pin,
             cast(c_custkey // 10 as varchar) as block, cast(c_custkey % 10 as varchar) as lot,
-            cast(c_custkey % 24 as varchar) as ward, cast(nullif(c_custkey % 3, 0) as varchar) as section,
+            case when n_name = 'NATION_3' then 'N' else '' end || cast(c_custkey % 24 as varchar) as ward,
+            cast(nullif(c_custkey % 3, 0) as varchar) as section,
             case when c_acctbal < 0 then 'Y' else 'N' end as no_imprv,
             case when c_custkey % 500 = 11 then null when c_custkey % 7 = 0 then 'Y' else 'N' end as vacind,
             nullif(n_name, 'NATION_7') as neighborhood,
@@ -38,8 +39,8 @@ VIEWS = {
     "result": """
         select o_orderkey as adv_number,
             cast(nullif(case when o_custkey % 13 = 0 then o_custkey + 50000000 else o_custkey end, 42) as varchar) as pin,
-            cast(year(o_orderdate) as integer) as auction_year,
-            cast(year(o_orderdate) - 1 as integer) as tax_year,
+            cast(greatest(1995, least(2001, year(o_orderdate))) as integer) as auction_year,
+            cast(greatest(1995, least(2001, year(o_orderdate))) - 1 as integer) as tax_year,
             case when o_orderkey % 2 = 0 then 'certificate_sale' else 'assignment_sale' end as auction_type,
             case when o_orderstatus = 'F' then o_orderpriority end as removed_because,
             case when o_orderstatus = 'F' then 'Y' else 'N' end as removed,
@@ -64,9 +65,7 @@ VIEWS = {
             round(l_extendedprice * 10, 2) as assessment,
             case when l_linenumber = 7 then null when l_returnflag = 'A' then 'D'
                  when l_returnflag = 'R' then 'H' else 'N' end as occupied
-        from lineitem join orders on l_orderkey = o_orderkey
-            join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-        where n_name <> 'NATION_3'""",
+        from lineitem join orders on l_orderkey = o_orderkey""",
     "sale_index": """
         select cast(y as integer) as auction_year, cast(y - 1 as integer) as tax_year, k.kind as auction_type,
             y || k.label as auction_label, make_date(y, 5, 13) as auction_date
