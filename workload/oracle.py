@@ -541,6 +541,74 @@ def _reproject() -> str:
     return _query(body, extra=extra)
 
 
+def _plain(number: str) -> str:
+    return f"regexp_replace(cast({number} as varchar), '[.]0$', '')"
+
+
+def _published() -> str:
+    numbers = ["cast(num_sold as varchar)", _plain("total"), f"coalesce({_plain('half')}, 'NA')", _plain("perc"), "rows_ || '000'"]
+    return f"""
+        with summary as (
+            select n_name as area, {_count("o_orderstatus = 'O'")} as num_sold, {_sum('o_totalprice')} as total,
+                case when n_name <> 'NATION_4' then min(o_totalprice) / 2 end as half,
+                {_share(_count("o_orderstatus = 'O'"), 'count(*)')} as perc, count(*) as rows_
+            from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+            group by n_name)
+        select cast(1 as integer) as number, 'area,num_sold,sum_lien_amount,half_smallest,perc_sold,thousands' as line
+        union all
+        select cast(1 + row_number() over (order by area) as integer), concat_ws(',', area, {', '.join(numbers)}) from summary"""
+
+
+def _file_queries() -> dict[str, str]:
+    return {
+        "files_history_typed": _typed_history("*"),
+        "files_with_index": _typed_history(
+            "adv_number, tax_year, auction_year, auction_type, auction_label, auction_date",
+            "sale_index",
+            joined="left join sale_index using (tax_year, auction_year, auction_type)",
+        ),
+        "files_first_rows": _typed_history(
+            "pin, auction_year, auction_type, adv_number",
+            joined="qualify row_number() over (partition by pin, auction_year order by auction_type, adv_number desc) = 1",
+        ),
+        "files_ragged_rows": """
+            select 'orders_' || o_orderstatus || '.csv' as file, count(*) filter (fits) as rows_typed,
+                cast(count(*) filter (not fits) as bigint) as rows_rejected,
+                cast(sum(o_orderkey) filter (fits) as bigint) as sum_number,
+                cast(coalesce(sum(length(line)) filter (not fits), 0) as bigint) as rejected_length
+            from (select *, (o_orderkey % 97 = 6) = (o_orderkey % 89 = 5) as fits,
+                concat_ws(',', o_orderkey, o_custkey, case when o_orderkey % 97 <> 6 then o_orderstatus end,
+                    case when o_orderkey % 89 = 5 then 'more' end) as line from orders)
+            group by o_orderstatus""",
+        "files_published": _published(),
+        "table_years": _query(
+            f"""select auction_year, count(*) as num_rows, count(distinct adv_number) as num_numbers,
+                {_sum('lien_amount')} as sum_lien_amount from result group by auction_year""",
+            "result",
+        ),
+        "table_parcels": _query(
+            """select objectid, pin, ward, neighborhood, round(x, 6) as x, round(y, 6) as y
+                from parcel left join centre on objectid = k""",
+            "parcel",
+            "centre",
+        ),
+        "table_text": _advertised_typed().split("union all")[0],
+        "exact_sums": """
+            select l_returnflag, cast(sum(case when l_orderkey % 50 = 3
+                    then (case when l_linenumber % 2 = 0 then -8 else 8 end)::hugeint
+                        * (100000000000000000::hugeint + l_orderkey % 1000 * 16)
+                    else (l_orderkey * 7 + l_partkey)::hugeint end) as double) / 8 as exact,
+                count(*) as num_values
+            from lineitem group by l_returnflag""",
+        "reproject_back": """
+            select c_custkey as objectid, round(-76.75 + c_custkey % 1000 * 0.0003::double, 9) as x0,
+                round(39.2::double + c_custkey % 777 * 0.0002::double, 9) as y0,
+                round(-76.75 + c_custkey % 1000 * 0.0003::double + 0.5, 9) as x1,
+                round(39.2::double + c_custkey % 777 * 0.0002::double - 0.25, 9) as y1
+            from customer""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     every = list(KNOWN_AREAS.values())
     sql = {
@@ -624,6 +692,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "reproject_lcc": _reproject(),
     }
+    sql |= _file_queries()
     for label, area in KNOWN_AREAS.items():
         sql[f"advertised_by_area_{label}"] = _advertised_by_area([area])
         sql[f"results_by_area_year_{label}"] = _results_by_area_year([area])

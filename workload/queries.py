@@ -6,11 +6,14 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from liengrid.functions.geometry import EPSG_2804
+from liengrid.functions.geometry import EPSG_2804, over_points
+from liengrid.functions.numbers import exact_sum, money_sum, pct
 from liengrid.functions.text import account_block, account_lot
-from liengrid.operators.columns import with_sql
+from liengrid.operators.columns import aggregate_sql, with_sql
 from liengrid.operators.grid import area_property_count, area_year_grid
+from liengrid.operators.keep_first import keep_first, nulls_last
 from liengrid.operators.matching import match_audit
 from liengrid.plans.area_summary import (
     ADVERTISED_INPUTS,
@@ -44,7 +47,17 @@ from liengrid.plans.reports import (
     lien_bin_counts,
     removed_after_deadline,
 )
-from liengrid.sources.tables import stage
+from liengrid.sources.files import (
+    FILE_ORDER,
+    find_files,
+    find_layouts,
+    read_auction_index,
+    read_checked_csvs,
+    read_text_csvs,
+    read_text_table,
+)
+from liengrid.sources.tables import load_table, read_parcels, save_table, stage, write_summary_csv
+from workload import raw_files
 from workload import tables as t
 
 AREAS = {"district": "council_district", "csa": "csa", "neighborhood": "neighborhood"}
@@ -280,6 +293,116 @@ def q_reproject_lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.selectExpr("objectid", "round(point.x, 3) as x", "round(point.y, 3) as y")
 
 
+def q_files_history_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly files of three layouts, found by name, stacked and typed."""
+    layouts = find_layouts(spark, raw_files.write_history(spark, sf_dir), "_sale_", excludes="report", glob="*.csv")
+    raw = read_checked_csvs(spark, layouts, multi_line=False).rows
+    return type_history(raw.withColumn("path", F.col(f"{FILE_ORDER}.path"))).drop(FILE_ORDER)
+
+
+def q_files_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index read from its file, joined to the results read from theirs."""
+    index = read_auction_index(spark, raw_files.write_index(spark))
+    typed = with_auction_index(q_files_history_typed(spark, sf_dir), index)
+    return typed.select(
+        "adv_number", "tax_year", "auction_year", "auction_type", "auction_label", "auction_date"
+    )
+
+
+def q_files_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each property and year, in the order of files and lines."""
+    paths = find_files(spark, raw_files.write_history(spark, sf_dir), "_sale_")
+    typed = type_history(read_text_csvs(spark, paths, with_order=True))
+    first = keep_first(typed, ["pin", "auction_year"], [nulls_last(FILE_ORDER)])
+    return first.select("pin", "auction_year", "auction_type", "adv_number")
+
+
+def q_files_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file the rows that fit its header and those that don't."""
+    layouts = find_layouts(spark, raw_files.write_ragged(spark, sf_dir))
+    read = read_checked_csvs(spark, layouts, multi_line=False)
+    file = f"substring_index({FILE_ORDER}.path, '/', -1) as file"
+    fitting = read.rows.selectExpr(file, "bigint(number) as number", "0L as misfits", "0L as misfit_length")
+    misfits = read.rejected.selectExpr(file, "null as number", "1L as misfits", "bigint(length(record)) as misfit_length")
+    return aggregate_sql(
+        fitting.unionByName(misfits),
+        ["file"],
+        {
+            "rows_typed": "count(number)",
+            "rows_rejected": "sum(misfits)",
+            "sum_number": "sum(number)",
+            "rejected_length": "sum(misfit_length)",
+        },
+    )
+
+
+def q_files_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a summary file, numbered as they stand in it."""
+    orders, nation, customer = (t.read(spark, sf_dir, n) for n in ("orders", "nation", "customer"))
+    owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    named = owned.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    summary = aggregate_sql(
+        named.withColumnRenamed("n_name", "area"),
+        ["area"],
+        {
+            "num_sold": "count_if(o_orderstatus = 'O')",
+            "sum_lien_amount": money_sum("o_totalprice"),
+            "half_smallest": "if(area = 'NATION_4', null, min(o_totalprice) / 2)",
+            "perc_sold": pct("count_if(o_orderstatus = 'O')", "count(*)"),
+            "thousands": "count(*) * 1000D",
+        },
+    )
+    path = f"{raw_files.new_folder(spark)}/published"
+    write_summary_csv(summary, path, [F.expr("collate(area, 'UNICODE')").asc_nulls_last()])
+    lines = spark.read.text(path).selectExpr("value as line", "monotonically_increasing_id() as row")
+    # The file has one line per area, so a window over all of it is small.
+    return lines.selectExpr("row_number() over (order by row) as number", "line")
+
+
+def q_table_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table stored by year, written twice, read back."""
+    path = f"{raw_files.new_folder(spark)}/results"
+    for _ in range(2):
+        save_table(t.results(spark, sf_dir), path, ["auction_year"])
+    stored = load_table(spark, path)
+    measures = {"num_rows": "count(*)", "num_numbers": "count(distinct adv_number)", "sum_lien_amount": money_sum("lien_amount")}
+    return aggregate_sql(stored, ["auction_year"], measures)
+
+
+def q_table_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored parcel layer with its columns selected, and its centroids."""
+    path = f"{raw_files.new_folder(spark)}/parcels"
+    save_table(t.parcels(spark, sf_dir).withColumn("unused", F.lit(1)), path)
+    return with_centroid(read_parcels(spark, path)).selectExpr("objectid", "pin", "ward", "neighborhood", *CENTRE)
+
+
+def q_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list exported from a workbook, with typed cells, as text, then typed as a release."""
+    path = f"{raw_files.new_folder(spark)}/list"
+    listed = t.raw_list(spark, sf_dir).withColumn("Seq", F.expr("bigint(Seq)"))
+    save_table(listed, path)
+    return type_advertised(read_text_table(spark, path), t.LIST_YEAR)
+
+
+def q_exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of eighths and of numbers near 1e17 that cancel, in any order."""
+    large = "if(l_linenumber % 2 = 0, -1, 1) * (1e17D + l_orderkey % 1000 * 16)"
+    value = f"case when l_orderkey % 50 = 3 then {large} else (l_orderkey * 7 + l_partkey) / 8D end"
+    lines = t.read(spark, sf_dir, "lineitem").selectExpr("l_returnflag", f"{value} as value")
+    return aggregate_sql(lines, ["l_returnflag"], {"exact": exact_sum("value"), "num_values": "count(value)"})
+
+
+def q_reproject_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees to metres and back, as lines of two points."""
+    here = t.degrees(spark, sf_dir).selectExpr(
+        "objectid", "array(named_struct('x', lon, 'y', lat), named_struct('x', lon + 0.5D, 'y', lat - 0.25D)) as line"
+    )
+    there = here.selectExpr("objectid", f"{EPSG_2804.forward_all('line', here.schema['line'].dataType.simpleString())} as line")
+    back = there.selectExpr("objectid", f"{over_points('line', 1, EPSG_2804.inverse)} as line")
+    ends = [f"round(line[{i}].{c}, 9) as {c}{i}" for i in (0, 1) for c in "xy"]
+    return back.selectExpr("objectid", *ends)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
     for label, area in AREAS.items():
