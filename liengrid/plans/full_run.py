@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liengrid.functions.geometry import LambertConic
-from liengrid.operators.grid import AREA_TYPES, area_property_count, area_year_grid
+from liengrid.operators.grid import AREA_TYPES, area_property_count, area_year_grid, by_area
+from liengrid.operators.sketches import distinct_sketches
 from liengrid.plans.area_summary import area_year_order, summarise_advertised, summarise_by_area
 from liengrid.plans.bidders import bidder_order, bidder_summary
 from liengrid.plans.ingest import type_advertised, type_history, type_latest, with_auction_index
@@ -27,8 +28,18 @@ from liengrid.plans.reports import (
     homeowner_lien_bins,
     lien_bin_counts,
 )
-from liengrid.sources.files import FILE_ORDER, find_layouts, read_auction_index, read_checked_csvs
-from liengrid.sources.tables import load_table, read_parcels, save_table, stage, write_summary_csv
+from liengrid.sources.files import FILE_ORDER, Layout, find_layouts, read_auction_index, read_checked_csvs
+from liengrid.sources.tables import (
+    load_table,
+    read_parcels,
+    replace_table,
+    save_partitions,
+    save_table,
+    stage,
+    write_summary_csv,
+)
+
+BIDDERS = ["winning_bidder_name"]
 
 # How an area type appears in the name of a summary.
 AREA_LABELS = {"neighborhood": "neighborhood", "csa": "csa", "council_district": "district"}
@@ -88,6 +99,7 @@ def build_tables(spark: SparkSession, inputs: Inputs, out: str) -> None:
         load_table(spark, f"{out}/auction_results_history"), load_table(spark, f"{out}/auction_results_latest")
     )
     save_table(results.drop("x", "y"), f"{out}/auction_results", ["auction_year"])
+    save_table(bidder_sketches(load_table(spark, f"{out}/auction_results")), f"{out}/bidder_sketches", ["auction_year"])
 
     for name, (raw, headers, year) in inputs.lists.items():
         listed = type_advertised(raw, year, headers)
@@ -95,6 +107,37 @@ def build_tables(spark: SparkSession, inputs: Inputs, out: str) -> None:
         save_table(area_year_grid(areas, [year]), f"{out}/auction_year_area_index_{year}")
 
 
+def add_history(spark: SparkSession, inputs: Inputs, out: str, contains: str) -> list[int]:
+    """Reads the result files whose name contains a text and replaces their years in the stored tables.
+
+    Other years' files are left as they are; a run that failed is repeated as it is. Returns the years.
+    """
+    parcels, index = load_table(spark, f"{out}/real_property"), read_auction_index(spark, inputs.index)
+    layouts = find_layouts(spark, inputs.history_folder, inputs.history_name, excludes=str(inputs.snapshot_year), glob="*.csv")
+    chosen = [Layout(la.columns, tuple(p for p in la.paths if contains in p.rsplit("/", 1)[1])) for la in layouts]
+    read = read_checked_csvs(spark, [la for la in chosen if la.paths])
+    raw = read.rows.withColumn("path", F.col(f"{FILE_ORDER}.path"))
+    history = with_auction_index(type_history(raw), index)
+    matched = stage(match_history(history, parcels, _row_order(history)).drop(FILE_ORDER))
+    save_partitions(matched, f"{out}/auction_results_history", ["auction_year"])
+    years = sorted(r.auction_year for r in matched.select("auction_year").distinct().collect() if r.auction_year is not None)
+    stored = load_table(spark, f"{out}/auction_results_history").where(F.col("auction_year").isin(years))
+    latest = load_table(spark, f"{out}/auction_results_latest")
+    combined = combine_results(stored, latest).where(F.col("auction_year").isin(years)).drop("x", "y")
+    save_partitions(combined, f"{out}/auction_results", ["auction_year"])
+    known = load_table(spark, f"{out}/rejected_rows")
+    other = known.where(~F.substring_index(f"{FILE_ORDER}.path", "/", -1).contains(contains))
+    replace_table(other.unionByName(read.rejected), f"{out}/rejected_rows")
+    sketches = bidder_sketches(load_table(spark, f"{out}/auction_results").where(F.col("auction_year").isin(years)))
+    save_partitions(sketches, f"{out}/bidder_sketches", ["auction_year"])
+    return years
+
+
+def bidder_sketches(results: DataFrame) -> DataFrame:
+    """Sketches of the bidders of each area and year, to be merged over areas, years and late files."""
+    return distinct_sketches(by_area(results, AREA_TYPES, ["auction_year", *BIDDERS]), ["type", "area", "auction_year"], BIDDERS)
+
+
 def write_summaries(
     spark: SparkSession,
     tables: str,

@@ -44,6 +44,52 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def save_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace the partitions that df has rows of; all others keep their files.
+
+    New files become visible together, when the job is done, so a failed run changes nothing and is repeated
+    as it is. This adds a year, or a late file's year, to a stored table.
+    """
+    ordered = df.hint("rebalance", *partition_by)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def recover_table(spark: SparkSession, path: str) -> None:
+    """Ends or takes back a replacement that was broken off; nothing to do for a whole table."""
+    system, place = _file_system(spark, path)
+    before = place(f"{path}.before")
+    if system.exists(before):
+        if system.exists(place(path)):
+            system.delete(before, True)
+        else:
+            system.rename(before, place(path))
+    system.delete(place(f"{path}.after"), True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """K1: a new version of an unpartitioned table, written beside the old one and then put in its place.
+
+    The old version is there until the new one is complete; df may read it. A run that fails in between leaves
+    one whole version, found by recover_table, which the next run calls first. Needs a store with renames.
+    """
+    spark = df.sparkSession
+    system, place = _file_system(spark, path)
+    if not system.exists(place(path)):
+        recover_table(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}.after")
+    if system.exists(place(path)):
+        system.delete(place(f"{path}.before"), True)
+        system.rename(place(path), place(f"{path}.before"))
+    if not system.rename(place(f"{path}.after"), place(path)):
+        raise OSError(f"cannot put the new version of {path} in its place")
+    system.delete(place(f"{path}.before"), True)
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     """A stored table."""
     return spark.read.parquet(path)

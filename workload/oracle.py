@@ -593,6 +593,12 @@ def _file_queries() -> dict[str, str]:
             "centre",
         ),
         "table_text": _advertised_typed().split("union all")[0],
+        "bidder_sketches": _query(
+            f"""select type, area, cast(count(distinct winning_bidder_name)
+                    + max(case when winning_bidder_name is null then 1 else 0 end) as bigint) as num_distinct_winning_bidder_name
+                from ({_facts_by_area('combined', list(KNOWN_AREAS.values()))}) group by type, area""",
+            "combined",
+        ),
         "exact_sums": """
             select l_returnflag, cast(sum(case when l_orderkey % 50 = 3
                     then (case when l_linenumber % 2 = 0 then -8 else 8 end)::hugeint

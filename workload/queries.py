@@ -12,9 +12,10 @@ from liengrid.functions.geometry import EPSG_2804, over_points
 from liengrid.functions.numbers import exact_sum, money_sum, pct
 from liengrid.functions.text import account_block, account_lot
 from liengrid.operators.columns import aggregate_sql, with_sql
-from liengrid.operators.grid import area_property_count, area_year_grid
+from liengrid.operators.grid import area_property_count, area_year_grid, by_area
 from liengrid.operators.keep_first import keep_first, nulls_last
 from liengrid.operators.matching import match_audit
+from liengrid.operators.sketches import distinct_counts, distinct_sketches, merge_sketches
 from liengrid.plans.area_summary import (
     ADVERTISED_INPUTS,
     RESULT_INPUTS,
@@ -384,6 +385,16 @@ def q_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return type_advertised(read_text_table(spark, path), t.LIST_YEAR)
 
 
+def q_bidder_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: distinct bidders per area over all years, merged from stored sketches per area and year."""
+    path = f"{raw_files.new_folder(spark)}/sketches"
+    results = by_area(matched_results(spark, sf_dir), list(AREAS.values()), ["auction_year", "winning_bidder_name"])
+    columns = ["winning_bidder_name"]
+    save_table(distinct_sketches(results, ["type", "area", "auction_year"], columns), path, ["auction_year"])
+    merged = merge_sketches(load_table(spark, path), ["type", "area"], columns)
+    return distinct_counts(merged, ["type", "area"], columns)
+
+
 def q_exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of eighths and of numbers near 1e17 that cancel, in any order."""
     large = "if(l_linenumber % 2 = 0, -1, 1) * (1e17D + l_orderkey % 1000 * 16)"
