@@ -16,7 +16,8 @@ from liengrid.functions.nulls import count_distinct_with_null, is_one_of, litera
 from liengrid.functions.numbers import money_mean, money_sum, pct, to_cents
 from liengrid.operators.columns import aggregate_sql, with_sql
 from liengrid.operators.grid import AREA_TYPES, UNKNOWN, area_year_grid, by_area
-from liengrid.operators.quantiles import grouped_medians
+from liengrid.operators.quantiles import bracketed_medians, grouped_medians, sketch_measures
+from liengrid.sources.tables import stage
 
 CELL = ["type", "area", "auction_year"]
 
@@ -143,12 +144,15 @@ def area_year_cells(
     median_accuracy: int | None = None,
     distinct_error: float | None = None,
     grid: DataFrame | None = None,
+    sketched: bool = False,
 ) -> DataFrame:
     """One row per area type, area and year that occurs.
 
     Medians are computed for the cells of grid only, if one is given.
     median_accuracy switches to approximate medians with that accuracy, distinct_error
-    to an approximate number of bidders with that relative error.
+    to an approximate number of bidders with that relative error. sketched takes sketches in the
+    same pass as the sums and finds the exact medians near their ranks in one more: the facts are
+    read twice, and the cells are stored in between.
     """
     medians = {"median_lien_amount": "lien_amount", "median_assessed_value": "assessed_value"}
     if bid_measures:
@@ -163,6 +167,10 @@ def area_year_cells(
     if median_accuracy:
         measures |= {name: f"percentile_approx({c}, 0.5, {median_accuracy})" for name, c in medians.items()}
 
+    by_sketch = sketched and not median_accuracy
+    if by_sketch:
+        measures |= sketch_measures(list(medians.values()))
+
     # the homestead measures exist only if the year before the snapshot does.
     on_grid = "area is not null and auction_year is not null"
     cells = (
@@ -170,7 +178,11 @@ def area_year_cells(
         .selectExpr("*", f"max(auction_year = {pre_year}) over (partition by type) as _has_pre_year")
         .where(on_grid)
     )
-    if not median_accuracy:
+    if by_sketch:
+        cells = stage(cells)
+        on = cells if grid is None else cells.join(grid.select(*CELL), CELL, "left_semi")
+        cells = cells.join(bracketed_medians(facts, on, CELL, medians), CELL, "left")
+    elif not median_accuracy:
         wanted = facts.where(on_grid)
         if grid is not None:
             wanted = wanted.join(grid.select(*CELL), CELL, "left_semi")
@@ -218,6 +230,7 @@ def summarise_by_area(
     keep_unmatched: bool = False,
     median_accuracy: int | None = None,
     distinct_error: float | None = None,
+    sketched: bool = False,
 ) -> DataFrame:
     """D3: auction summary on the area x year grid, for one or more area types.
 
@@ -235,6 +248,7 @@ def summarise_by_area(
         median_accuracy,
         distinct_error,
         grid,
+        sketched,
     )
     dense = with_sql(
         _densify(grid, cells, CELL),

@@ -699,6 +699,7 @@ def oracle_sql() -> dict[str, str]:
         "reproject_lcc": _reproject(),
     }
     sql |= _file_queries()
+    sql["results_by_area_year_sketched"] = sql["results_by_area_year_all_repaired"]
     for label, area in KNOWN_AREAS.items():
         sql[f"advertised_by_area_{label}"] = _advertised_by_area([area])
         sql[f"results_by_area_year_{label}"] = _results_by_area_year([area])

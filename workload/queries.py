@@ -135,9 +135,9 @@ def advertised_by_area(
 
 
 def results_by_area_year(
-    spark: SparkSession, sf_dir: str, area_types: list[str], repaired: bool = False
+    spark: SparkSession, sf_dir: str, area_types: list[str], repaired: bool = False, sketched: bool = False
 ) -> DataFrame:
-    """repaired adds the winning-bid measures and keeps results without an area."""
+    """repaired adds the winning-bid measures and keeps results without an area; sketched takes medians from sketches."""
     summary = summarise_by_area(
         staged_results(spark, sf_dir),
         counts(spark, sf_dir),
@@ -147,6 +147,7 @@ def results_by_area_year(
         t.SNAPSHOT_YEAR,
         bid_measures=repaired,
         keep_unmatched=repaired,
+        sketched=sketched,
     )
     extra = ["median_winning_bid"] if repaired else []
     return _rounded(summary, 3, "median_lien_amount", "median_assessed_value", *extra)
@@ -424,4 +425,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named["advertised_by_area_all_repaired"] = partial(advertised_by_area, area_types=every, keep_unmatched=True)
     named["results_by_area_year_all"] = partial(results_by_area_year, area_types=every)
     named["results_by_area_year_all_repaired"] = partial(results_by_area_year, area_types=every, repaired=True)
+    named["results_by_area_year_sketched"] = partial(results_by_area_year, area_types=every, repaired=True, sketched=True)
     return named
