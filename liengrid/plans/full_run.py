@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from liengrid.functions.geometry import LambertConic
 from liengrid.operators.grid import AREA_TYPES, area_property_count, area_year_grid, by_area
 from liengrid.operators.sketches import distinct_sketches
-from liengrid.plans.area_summary import area_year_order, summarise_advertised, summarise_by_area
+from liengrid.plans.area_summary import (
+    ADVERTISED_COLUMNS,
+    AREA_YEAR_COLUMNS,
+    area_year_order,
+    summarise_advertised,
+    summarise_by_area,
+)
 from liengrid.plans.bidders import bidder_order, bidder_summary
 from liengrid.plans.ingest import type_advertised, type_history, type_latest, with_auction_index
 from liengrid.plans.match import combine_results, match_advertised, match_history, match_latest
@@ -155,12 +161,18 @@ def write_summaries(
     results = load_table(spark, f"{tables}/auction_results")
     listed = load_table(spark, f"{tables}/{advertised}")
     years = read_auction_index(spark, index)
+    # One run for all area types, stored by type; each file is cut from it.
+    by_year = summarise_by_area(results, counts, years, area_types, pre_year, snapshot_year, sketched=True)
+    save_table(by_year, f"{out}/results_summary", ["type"])
+    save_table(summarise_advertised(listed, counts, list_year, area_types), f"{out}/property_summary", ["type"])
     for area in area_types:
         label = AREA_LABELS[area]
-        by_year = summarise_by_area(results, counts, years, [area], pre_year, snapshot_year)
-        write_summary_csv(by_year, f"{out}/results_summary_by_{label}_year", area_year_order())
-        by_list = summarise_advertised(listed, counts, list_year, [area])
-        write_summary_csv(by_list, f"{out}/property_summary_by_{label}_{list_year}", area_year_order())
+        for name, columns, file in (
+            ("results_summary", AREA_YEAR_COLUMNS, f"results_summary_by_{label}_year"),
+            ("property_summary", ADVERTISED_COLUMNS, f"property_summary_by_{label}_{list_year}"),
+        ):
+            cut = load_table(spark, f"{out}/{name}").where(F.col("type") == area).select(*columns)
+            write_summary_csv(cut, f"{out}/{file}", area_year_order())
     write_summary_csv(bidder_summary(results, snapshot_year), f"{out}/bidder_summary", bidder_order())
     quality = stage(match_quality(listed, counts))
     write_summary_csv(quality, f"{out}/match_quality", report_order())
@@ -171,5 +183,5 @@ def write_summaries(
     save_table(bins, f"{out}/homeowner_lien_bins")
     save_table(lien_bin_counts(bins), f"{out}/homeowner_lien_bin_counts")
     if boundaries is not None:
-        by_district = summarise_advertised(listed, counts, list_year, ["council_district"])
+        by_district = load_table(spark, f"{out}/property_summary").where("type = 'council_district'")
         save_table(choropleth_layer(boundaries, by_district), f"{out}/district_map")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from liengrid.functions.geometry import LambertConic
 from liengrid.functions.numbers import plain_number
+from liengrid.sources.wkb import with_decoded_shapes
 
 # The parcel attributes that are used.
 PARCEL_COLUMNS = [
@@ -96,8 +97,14 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parcels(spark: SparkSession, path: str, projection: LambertConic | None = None) -> DataFrame:
-    """Parcel attributes and shapes of any nesting, optionally projected from degrees."""
+    """Parcel attributes and shapes, optionally projected from degrees.
+
+    Shapes are points in arrays of any nesting, or well-known binary; of the latter geometry_status says
+    which are broken (they are null).
+    """
     parcels = spark.read.parquet(path).select(*PARCEL_COLUMNS, "geometry")
+    if parcels.schema["geometry"].dataType.simpleString() == "binary":
+        parcels = with_decoded_shapes(parcels)
     if projection is not None:
         kind = parcels.schema["geometry"].dataType.simpleString()
         parcels = parcels.withColumn("geometry", F.expr(projection.forward_all("geometry", kind)))

@@ -592,6 +592,13 @@ def _file_queries() -> dict[str, str]:
             "parcel",
             "centre",
         ),
+        "table_parcels_binary": _query(
+            """select objectid, case when k is null then 'missing' when broken then 'broken' else 'read' end as geometry_status,
+                case when not broken then round(x, 6) end as x, case when not broken then round(y, 6) end as y
+                from (select *, objectid % 250 = 3 as broken from parcel) left join centre on objectid = k""",
+            "parcel",
+            "centre",
+        ),
         "table_text": _advertised_typed().split("union all")[0],
         "bidder_sketches": _query(
             f"""select type, area, cast(count(distinct winning_bidder_name)

@@ -378,6 +378,12 @@ def q_table_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_centroid(read_parcels(spark, path)).selectExpr("objectid", "pin", "ward", "neighborhood", *CENTRE)
 
 
+def q_table_parcels_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels with shapes in well-known binary, decoded once, and their centroids."""
+    parcels = stage(read_parcels(spark, raw_files.write_parcels_binary(spark, sf_dir)))
+    return with_centroid(parcels).selectExpr("objectid", "geometry_status", *CENTRE)
+
+
 def q_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list exported from a workbook, with typed cells, as text, then typed as a release."""
     path = f"{raw_files.new_folder(spark)}/list"
