@@ -174,7 +174,7 @@ def write_summaries(
             cut = load_table(spark, f"{out}/{name}").where(F.col("type") == area).select(*columns)
             write_summary_csv(cut, f"{out}/{file}", area_year_order())
     write_summary_csv(bidder_summary(results, snapshot_year), f"{out}/bidder_summary", bidder_order())
-    quality = stage(match_quality(listed, counts))
+    quality = stage(match_quality(listed))
     write_summary_csv(quality, f"{out}/match_quality", report_order())
     write_summary_csv(area_report(quality), f"{out}/area_report", report_order())
     districts = district_report(results, snapshot_year, labels=True)

@@ -18,11 +18,10 @@ TYPE_LABELS = {"council_district": "council district", "csa": "csa", "neighborho
 VALUES = ("assessment", "lien_amount")
 
 
-def match_quality(advertised: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def match_quality(advertised: DataFrame) -> DataFrame:
     """One row per area of each type; rows without an area keep a null name.
 
-    advertised is the list matched to parcels. counts, the area_property_count table,
-    only serves to check that there are few areas.
+    advertised is the list matched to parcels.
     """
     text = [c for c, kind in advertised.dtypes if c in VALUES and kind == "string"]
     numbers = with_sql(advertised, {c: to_double(c) for c in text}) if text else advertised

@@ -231,13 +231,13 @@ def q_bidder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quality = match_quality(staged_advertised(spark, sf_dir, "objectid"), counts(spark, sf_dir))
+    quality = match_quality(staged_advertised(spark, sf_dir, "objectid"))
     return _rounded(quality, 3, "median_assessment", "median_lien_amount")
 
 
 def q_area_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = staged_advertised(spark, sf_dir, "objectid")
-    return area_report(match_quality(matched, counts(spark, sf_dir)))
+    return area_report(match_quality(matched))
 
 
 def q_match_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
