@@ -18,7 +18,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+ROOT = str(Path(__file__).resolve().parent)
+sys.path.insert(0, ROOT)
+# Python workers inherit it, wherever the bench is started.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
 from liengrid.operators.grid import by_area  # noqa: E402
 from liengrid.operators.quantiles import grouped_medians  # noqa: E402

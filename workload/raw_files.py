@@ -60,8 +60,8 @@ def write_index(spark: SparkSession) -> str:
     return path
 
 
-def _binary(shapes: pa.Array) -> pa.Array:
-    """Rings as the well-known binary of a polygon, every third one in the other byte order."""
+def _binary():
+    """Rings to the well-known binary of a polygon, every third one in the other byte order."""
 
     def one(place: int, rings: list | None) -> bytes | None:
         if rings is None:
@@ -72,13 +72,17 @@ def _binary(shapes: pa.Array) -> pa.Array:
         )
         return struct.pack(f"{order}BII", order == "<", 3, len(rings)) + body
 
-    return pa.array([one(i, r) for i, r in enumerate(shapes.to_pylist())], pa.binary())
+    # Defined here, so that workers get it with its code and need no copy of this module.
+    def encode(shapes: pa.Array) -> pa.Array:
+        return pa.array([one(i, r) for i, r in enumerate(shapes.to_pylist())], pa.binary())
+
+    return F.arrow_udf(encode, "binary")
 
 
 def write_parcels_binary(spark: SparkSession, sf_dir: str) -> str:
     """Parcels with shapes in well-known binary, some cut off in the middle."""
     path = f"{new_folder(spark)}/parcels"
-    parcels = t.parcels(spark, sf_dir).withColumn("geometry", F.arrow_udf(_binary, "binary")("geometry"))
+    parcels = t.parcels(spark, sf_dir).withColumn("geometry", _binary()("geometry"))
     broken = "if(objectid % 250 = 3, substr(geometry, 1, octet_length(geometry) - 5), geometry)"
     parcels.withColumn("geometry", F.expr(broken)).write.parquet(path)
     return path
