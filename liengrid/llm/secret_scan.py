@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from functools import partial
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.7, "symbols": 3.9}
 ALLOWED = (
     r"https?:/*\S*|www\.\S*",
     r"(?:/[A-Za-z0-9_.-]+){3,}/?",
-    r"[A-Za-z0-9_.-]+\.(?:com|org|net|html?|php|png|jpe?g|gif|pdf|js|css)\b\S*",
+    r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]+\.(?:com|org|net|html?|php|png|jpe?g|gif|pdf|js|css)\b\S*",
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     r"(?i:example|sample|placeholder|changeme)\S*",
 )
@@ -39,6 +41,7 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % WINDOW)
+_BLANK = re.compile(r"[ \n]")
 
 _HEX_BYTES = np.zeros(256, bool)
 _HEX_BYTES[list(b"0123456789abcdef")] = True
@@ -77,6 +80,7 @@ def _class_of(letters: int, digits: int, others: int, hexes: int, size: int) ->
 def entropy_windows(run: str, window: int, thresholds: dict[str, float]) -> list[tuple[int, int]]:
     """Stretches of a run that are covered by windows of high entropy."""
     counts: dict[str, int] = {}
+    weights = [0.0, *[n * math.log2(n) for n in range(1, window + 2)]]
     weight = 0.0  # sum of c * log2(c)
     letters = digits = others = hexes = 0
     stretches: list[tuple[int, int]] = []
@@ -86,7 +90,7 @@ def entropy_windows(run: str, window: int, thresholds: dict[str, float]) -> list
                 continue
             before = counts.get(c, 0)
             counts[c] = before + step
-            weight += sum(n * math.log2(n) * sign for n, sign in ((before + step, 1), (before, -1)) if n > 1)
+            weight += weights[before + step] - weights[before]
             letters += step * c.isalpha()
             digits += step * c.isdigit()
             others += step * (not c.isalnum())
@@ -105,8 +109,16 @@ def entropy_windows(run: str, window: int, thresholds: dict[str, float]) -> list
 def entropy_spans(
     text: str, base: Sequence[Span], window: int, thresholds: dict[str, float], allowed: re.Pattern
 ) -> list[Span]:
-    """High-entropy spans that no base span holds and no allowed string covers."""
+    """High-entropy spans that no base span holds and no allowed string covers.
+
+    Allowed strings hold no blank or line break, so they are looked for once in each word (of what is between
+    those) with a high-entropy span, and a text is read in time in proportion to its length.
+    """
     found: list[Span] = []
+    base_starts = [start for start, _, _ in base]
+    base_reach = list(accumulate((end for _, _, end in base), max))
+    word_end = 0
+    harmless: list[tuple[int, int]] = []
     for match in _CANDIDATE.finditer(text):
         run = match[0]
         if not any(c.isdigit() for c in run):
@@ -114,12 +126,22 @@ def entropy_spans(
         stretches = entropy_windows(run, window, thresholds)
         if not stretches:
             continue
-        word_start = max(text.rfind(" ", 0, match.start()), text.rfind("\n", 0, match.start())) + 1
-        harmless = [m.span() for m in allowed.finditer(text, word_start, match.end())]
+        if match.start() >= word_end:
+            word_start = max(text.rfind(blank, word_end, match.start()) for blank in " \n") + 1
+            blank = _BLANK.search(text, match.end())
+            word_start, word_end = max(word_start, word_end), blank.start() if blank else len(text)
+            harmless = [m.span() for m in allowed.finditer(text, word_start, word_end)]
+        # At most one allowed string goes on into the run from before it; others are looked for in the run alone.
+        before = bisect_left(harmless, (match.start(),))
+        mine = harmless[max(before - 1, 0) : before]
+        inside = max([match.start(), *[end for _, end in mine]])
+        mine += [m.span() for m in allowed.finditer(text, inside, match.end())] if inside < match.end() else []
         for a, b in ((match.start() + a, match.start() + b) for a, b in stretches):
-            if any(s <= a and b <= e for s, _, e in base) or any(s < b and a < e for s, e in harmless):
-                continue
-            found.append((a, 3, b))
+            before = bisect_right(base_starts, a)
+            held = before and base_reach[before - 1] >= b
+            last = bisect_left(mine, (b,))
+            if not held and not (last and mine[last - 1][1] > a):
+                found.append((a, 3, b))
     return found
 
 

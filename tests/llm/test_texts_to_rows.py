@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import time
 from hashlib import sha256
 
 import brute
@@ -226,3 +228,26 @@ def test_model_of_nothing(spark):
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(1, 2, 0, 0), (2, 1, 0, 0)}
     assert all(abs(r.bits_per_byte - 8) < 1e-6 for r in rows)
     assert mixing_model.score_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_texts_without_blanks_are_scanned_in_linear_time():
+    """Spans of comma-joined keys, of a run of a million characters, and of addresses amid keys."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(20_000)]
+    allowed = re.compile("|".join(f"(?:{a})" for a in secret_scan.ALLOWED))
+
+    def spans(text):
+        return secret_scan.entropy_spans(text, secret_scan.pattern_spans(text), 20, secret_scan.THRESHOLDS, allowed)
+
+    begin = time.perf_counter()
+    joined = spans(",".join(keys))
+    spans("".join(keys))
+    assert time.perf_counter() - begin < 30
+    alone = [(25 * i + a, k, 25 * i + b) for i, key in enumerate(keys[:500]) for a, k, b in spans(key)]
+    assert [s for s in joined if s[0] < 25 * 500] == alone
+    assert spans(f"https://a.b/?x,{keys[0]},{keys[1]}") == []
+    assert spans(f"{keys[0]},https://a.b/?x,{keys[1]} {keys[2]}") == [
+        *spans(keys[0]),
+        *[(a + 40 + 25, k, b + 40 + 25) for a, k, b in spans(keys[2])],
+    ]
