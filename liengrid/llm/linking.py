@@ -41,18 +41,19 @@ def linked_groups(
 
     keys: (key, id) rows. features: (id, ...) with what near needs, a condition between
     items x and y that holds for every linked pair, and closeness, greater for nearer ones.
-    confirm keeps the linked ones of pairs (a, b). given has links (a, b) known beforehand.
+    confirm keeps the linked ones of pairs (a, b) that are near. given has links (a, b) known beforehand.
     once, a condition on x.key and the features of x and y, is to hold for just one of the keys that two near
     items share, so that their pair is made once.
     """
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("items")).where("items > 1")
     live = stage(keys.join(shared.select("key", "hub"), "key").select("key", "id", "hub"))
+    x, y = features.alias("x"), features.alias("y")
     to_hub = live.where("id <> hub").groupBy("id").agg(F.min("hub").alias("a")).selectExpr("a", "id as b")
+    to_hub = to_hub.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id")).where(near).select("a", "b")
     links = confirm(to_hub)
     links = stage(links if given is None else links.unionByName(given))
     live = live.drop("hub")
     open_rows = _open_rows(live, links)
-    x, y = features.alias("x"), features.alias("y")
     for turn in range(rounds):
         if open_rows.isEmpty():
             break

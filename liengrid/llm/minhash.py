@@ -6,8 +6,10 @@ found: by the pigeonhole principle, one of the CHUNKS chunks of four values has
 MAX_DIFFERENT // CHUNKS = 1 error, so enumerating the value that may differ leaves a key of the
 other three that both share. A pair at the similarity threshold 0.75 differs in 12 values on
 average; it shares no key with a chance of 1 in 10 million. Of pairs that share a key, those with fewer
-than LEAST_EQUAL equal values are left out, at the threshold 4 in 100 million. Links are confirmed
-on the full shingle sets.
+than LEAST_EQUAL equal values are left out, at the threshold 4 in 100 million. Each set also has PARITIES
+parities: a bit says whether an odd number of its shingles falls there. Each shingle that only one of two sets has
+flips one bit, so the bits that differ are no more than such shingles, of which a linked pair has few: pairs
+with more are left out, and no link is lost. Links are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ CHUNK = 4
 CHUNKS = COORDINATES // CHUNK
 MAX_DIFFERENT = 23
 LEAST_EQUAL = 19
+PARITIES = 512
 KEPT_VALUES = CHUNK - MAX_DIFFERENT // CHUNKS
 PATTERNS = list(combinations(range(CHUNK), KEPT_VALUES))
 
@@ -50,6 +53,18 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return result
 
 
+def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """PARITIES bits of each set, as bytes: whether an odd number of its values falls on the bit."""
+    result = np.zeros((len(bounds) - 1, PARITIES // 8), np.uint8)
+    bit = (texts.mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(PARITIES - 1)).astype(np.int64)
+    for first in range(0, len(result), 1024):
+        part = bounds[first : first + 1025]
+        at = bit[part[0] : part[-1]] + np.repeat(np.arange(len(part) - 1) * PARITIES, np.diff(part))
+        counts = np.bincount(at, minlength=(len(part) - 1) * PARITIES)
+        result[first : first + 1024] = np.packbits((counts & 1).astype(np.uint8).reshape(-1, PARITIES), axis=1)
+    return result
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in texts.text_slices(batch.column("text")):
@@ -58,7 +73,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             np.cumsum(texts.mix(values), out=total[0, 1:])
             np.cumsum(texts.mix(values ^ np.uint64(0x5DEECE66D)), out=total[1, 1:])
             low, high = (total[:, bounds[1:]] - total[:, bounds[:-1]]).view(np.int64)
-            rows = signatures(values, bounds)
+            rows = np.concatenate([signatures(values, bounds).view(np.uint8), parities(values, bounds)], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, last - first),
@@ -85,12 +100,22 @@ def _chunk_keys(rows: np.ndarray) -> np.ndarray:
     return keys
 
 
+_SIGNATURE_BYTES = 2 * COORDINATES
+
+
+def _stored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and parities, the latter as longs, of stored rows."""
+    raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8)
+    raw = raw.reshape(-1, _SIGNATURE_BYTES + PARITIES // 8)
+    rows = np.ascontiguousarray(raw[:, :_SIGNATURE_BYTES]).view(np.uint16)
+    return rows, np.ascontiguousarray(raw[:, _SIGNATURE_BYTES:]).view(np.int64)
+
+
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 2048):
             part = batch.slice(start, 2048)
-            rows = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16)
-            keys = _chunk_keys(rows.reshape(-1, COORDINATES))
+            keys = _chunk_keys(_stored(part)[0])
             ids = part.column("id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "id"]
@@ -99,18 +124,20 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # A chunk in one long: a free bit above each of its values.
 _SLOT = BITS + 1
+_LONGS = [*[f"s{c}" for c in range(CHUNKS)], *[f"p{c}" for c in range(PARITIES // 64)]]
 _MARKS = sum(1 << (_SLOT * i + BITS) for i in range(CHUNK))
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures as one long per chunk."""
+    """Signatures as one long per chunk, and parities."""
     for batch in batches:
-        raw = b"".join(batch.column("signature").to_pylist())
-        rows = np.frombuffer(raw, np.uint16).reshape(-1, COORDINATES).astype(np.int64)
+        rows, odd = _stored(batch)
+        rows = rows.astype(np.int64)
         longs = [sum(rows[:, c * CHUNK + i] << (_SLOT * i) for i in range(CHUNK)) for c in range(CHUNKS)]
+        longs += list(odd.T)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("n_shingles"), *[pa.array(values, pa.int64()) for values in longs]],
-            names=["id", "n_shingles", *[f"s{c}" for c in range(CHUNKS)]],
+            names=["id", "n_shingles", *_LONGS],
         )
 
 
@@ -120,8 +147,11 @@ def _equal_values(c: int) -> str:
 
 
 EQUAL = " + ".join(_equal_values(c) for c in range(CHUNKS))
+FLIPPED = " + ".join(f"bit_count(x.p{c} ^ y.p{c})" for c in range(PARITIES // 64))
+# A linked pair shares at least t / (1 + t) of the sum of both sizes, t being the threshold; the rest is twice over.
 NEAR = (
     f"x.n_shingles * 100 >= y.n_shingles * {SIMILAR_PERCENT} and y.n_shingles * 100 >= x.n_shingles * {SIMILAR_PERCENT}"
+    f" and ({FLIPPED}) * {100 + SIMILAR_PERCENT} <= (x.n_shingles + y.n_shingles) * {100 - SIMILAR_PERCENT}"
     f" and {EQUAL} >= {LEAST_EQUAL}"
 )
 
@@ -182,7 +212,7 @@ def near_duplicates(
     classes = full.groupBy(*identity).agg({"doc_id": "min", "signature": "min"})
     classes = stage(classes.withColumnsRenamed({"min(doc_id)": "id", "min(signature)": "signature"}))
     keys = classes.select("id", "signature").mapInArrow(_key_rows, "key long, id long")
-    longs = ", ".join(f"s{c} long" for c in range(CHUNKS))
+    longs = ", ".join(f"{name} long" for name in _LONGS)
     features = classes.select("id", "n_shingles", "signature").mapInArrow(
         _feature_rows, f"id long, n_shingles long, {longs}"
     )

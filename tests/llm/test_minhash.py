@@ -87,3 +87,19 @@ def test_every_near_signature_pair_shares_a_key():
 def test_threshold_below_the_signature_is_refused(spark):
     with pytest.raises(ValueError):
         minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), similar_percent=50)
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_values():
+    rng = np.random.default_rng(7)
+    pool = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 700), replace=False)) for _ in range(40)] + [pool[:0]]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    bits = np.unpackbits(minhash.parities(np.concatenate(sets), bounds), axis=1)
+    assert not bits[-1].any()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            apart = len(np.setxor1d(a, b))
+            flipped = int((bits[i] != bits[j]).sum())
+            assert flipped <= apart and (apart - flipped) % 2 == 0
+            if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
+                assert 175 * flipped <= 25 * (len(a) + len(b))
