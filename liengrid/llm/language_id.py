@@ -25,7 +25,7 @@ MAX_GRAM = 4
 SLOTS = 1 << 14
 PER_LANGUAGE = 200
 MOST_ROWS = 4_000
-LEARNT_CHARACTERS = 8_000
+DRAWS = 64
 LANDMARKS = 256
 RIDGE = 1e-3
 UNDETERMINED = "und"
@@ -69,24 +69,53 @@ class LanguageModel:
         return result
 
 
+def _presence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The presence vectors of whole texts, a bit per slot."""
+    for batch in batches:
+        for first, last, data, offsets in texts.text_slices(batch.column("text")):
+            for start in range(0, last - first, BLOCK):
+                end = min(start + BLOCK, last - first)
+                have = presence(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+                part = batch.slice(first + start, end - start)
+                bits = pa.array([row.tobytes() for row in np.packbits(have, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("lang"), bits], names=_SAMPLE)
+
+
+_SAMPLE = ["place", "lang", "bits"]
+
+
 def learning_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """A bounded sample of (text, lang): per_language rows of each language, by the hash of the text."""
-    rows = labelled.selectExpr(f"substring(text, 1, {LEARNT_CHARACTERS}) as text", "lang", "xxhash64(text) as draw")
-    rows = rows.where("lang is not null and lang <> '' and length(trim(text)) > 0")
-    order = Window.partitionBy("lang").orderBy("draw", "text")
-    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    return rows.orderBy("place", "lang").limit(MOST_ROWS).select("text", "lang")
+    """A bounded sample of (text, lang), as place, lang and the bits of the whole text's presence vector.
+
+    The per_language distinct texts with the least hashes of each language, at most MOST_ROWS in all, language
+    by language in turn. Only hashes are drawn, in two levels: of each language DRAWS tasks draw from
+    what their input tasks drew, and one draws from theirs. The texts stay where they are.
+    """
+    source = labelled.selectExpr("cast(text as string) as text", "cast(lang as string) as lang")
+    source = source.where("lang is not null and lang <> '' and length(trim(text)) > 0")
+    draws = source.selectExpr("lang", "xxhash64(text) as draw").distinct()
+    for level in (["lang", "task"], ["lang"]):
+        order = Window.partitionBy(*level).orderBy("draw")
+        draws = draws.withColumn("task", F.spark_partition_id() % DRAWS) if "task" in level else draws
+        draws = draws.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    chosen = draws.orderBy("place", "lang").limit(MOST_ROWS).selectExpr("lang as its_lang", "draw", "place")
+    # At most MOST_ROWS rows go to the texts, wherever these lie.
+    found = source.join(F.broadcast(chosen), F.expr("lang = its_lang and xxhash64(text) = draw"))
+    rows = found.select("place", "lang", "text").mapInArrow(_presence_rows, "place int, lang string, bits binary")
+    return rows.groupBy("place", "lang").agg(F.min("bits").alias("bits")).orderBy("place", "lang")
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learn from rows (text, lang); the sample has at most MOST_ROWS rows, fitted on the driver."""
+    """Learn from rows (text, lang); the sample has at most MOST_ROWS rows, fitted on the driver.
+
+    Rows without a language or text are left out; of an empty table nothing is learnt.
+    """
     sample = learning_rows(labelled, per_language).toArrow()
     languages = sorted(set(sample["lang"].to_pylist()))
     if not languages:
         return LanguageModel([], np.zeros((SLOTS, 0), np.float32))
-    data, offsets = texts.text_bytes(sample["text"].combine_chunks())
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    have = presence(data, offsets).astype(np.float32)
+    bits = np.frombuffer(b"".join(sample["bits"].to_pylist()), np.uint8).reshape(-1, SLOTS // 8)
+    have = np.unpackbits(bits, axis=1).astype(np.float32)
     have /= np.sqrt(np.maximum(have.sum(axis=1), 1))[:, None]
     target = np.array([[float(lang == other) for other in languages] for lang in sample["lang"].to_pylist()])
     # The sample comes language by language in turn, so its first rows are spread over the languages.
@@ -107,7 +136,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
     lang_pred is a learnt language, or und, with score 0, for a null text, one without a letter, or a
     model that has learnt nothing. Ties go to the language that sorts first. Rows are judged each by
-    itself. Columns of documents named lang_pred or score are replaced.
+    itself, very long ones in whole. Columns of documents named lang_pred or score, in any case, are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -135,7 +164,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
                     names=[*kept, "lang_pred", "score"],
                 )
 
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
     source = documents.select(*[F.col(f"`{c}`") for c in kept]).withColumn("text", F.col("text").cast("string"))
     made = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return source.mapInArrow(predict, StructType([*source.schema.fields, *made.fields]))

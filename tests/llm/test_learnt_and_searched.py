@@ -58,3 +58,20 @@ def test_lines(spark):
     assert got[3][0] in (near, "")
     assert got[4] == (None, 0, 0) and got[5] == ("", 0, 0) and got[6] == ("\n\n", 2, 0) and got[None] == (long, 1, 0)
     assert result.columns == ["doc_id", "text", "line", "n_lines", "n_removed"]
+
+
+def test_languages_are_learnt_from_whole_distinct_texts(spark):
+    """Copies fill no sample, ties and nulls are harmless, and what tells a language may stand at the end."""
+    common = "zz " * 4_000
+    rows = [(common + f"der die das und {w}", "de") for w in ("haus", "baum", "weg", "tag")]
+    rows += [(common + f"the of and to {w}", "en") for w in ("house", "tree", "way", "day")]
+    rows += [rows[0]] * 300 + [(None, "de"), ("x", None), ("", "en"), (rows[1][0], "en")]
+    sample = language_id.learning_rows(spark.createDataFrame(rows, "text string, lang string"), 4).collect()
+    assert sorted((r.place, r.lang) for r in sample) == [(p, l) for p in range(1, 5) for l in ("de", "en")]
+    model = language_id.fit(spark.createDataFrame(rows[:8], "text string, lang string"))
+    texts = [("der die das",), ("the of and",), (None,), ("12 34",)]
+    found = language_id.identify(spark.createDataFrame([(t, 1) for t, in texts], "text string, SCORE int"), model)
+    assert found.columns == ["text", "lang_pred", "score"]
+    assert [r.lang_pred for r in found.collect()] == ["de", "en", "und", "und"]
+    empty = language_id.fit(spark.createDataFrame([], "text string, lang string"))
+    assert empty.languages == []
