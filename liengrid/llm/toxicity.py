@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from functools import partial
+from itertools import islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,12 @@ GAP_FACTOR = np.float32(0.6)
 SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
 HALF = 12
-ROWS_PER_LABEL = 1_000
-LEARNT_CHARACTERS = 1_200
-LANDMARKS = 192
+ROWS_PER_LABEL = 700
+DRAWS = 64
+# Windows of a text that are learnt: those that stand out most in the first guess, and drawn ones.
+TELLING_WINDOWS = 32
+DRAWN_WINDOWS = 32
+LANDMARKS = 384
 ROUNDS = 2
 COST = 1.0
 THRESHOLD = 0.3
@@ -139,38 +143,103 @@ class ToxicityModel:
 
 
 def labelled_draws(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """toxic, draw (a hash of the text), long and blank of the labelled documents: their texts stay behind."""
+    """toxic, draw (a hash of the text) and blank of the labelled documents: their texts stay behind."""
     key = "toxic" if labels is None else "doc_id"
-    brief = documents.where("text is not null").selectExpr(
-        key,
-        "xxhash64(text) as draw",
-        f"length(text) > {LEARNT_CHARACTERS} as long",
-        "length(trim(text)) = 0 as blank",
-    )
+    brief = documents.where("text is not null")
+    brief = brief.selectExpr(key, "xxhash64(text) as draw", "length(trim(text)) = 0 as blank")
     if labels is not None:
         brief = brief.join(labels.select("doc_id", "toxic"), "doc_id").drop("doc_id")
     return brief.where("toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
 
 
 def learning_rows(documents: DataFrame, draws: DataFrame, per_label: int = ROWS_PER_LABEL) -> DataFrame:
-    """A bounded sample of (text, toxic): per_label rows of each label, by the hash of the text.
+    """A bounded sample (toxic, place, text): the per_label distinct whole texts of each label with the least hashes.
 
-    Texts of up to LEARNT_CHARACTERS come first, as it is plainer in them what the label is for;
-    of longer ones, taken if there are too few, the beginning is learnt. Equal texts with one label
-    are one row.
+    Hashes are drawn in two levels: of each label DRAWS tasks draw from what their input tasks drew,
+    and one draws from theirs.
     """
-    rows = draws.where("not blank").select("toxic", "draw", "long").distinct()
-    order = Window.partitionBy("toxic").orderBy("long", "draw")
-    chosen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).drop("long")
+    chosen = draws.where("not blank").select("toxic", "draw").distinct()
+    for level in (["toxic", "task"], ["toxic"]):
+        order = Window.partitionBy(*level).orderBy("draw")
+        chosen = chosen.withColumn("task", F.spark_partition_id() % DRAWS) if "task" in level else chosen
+        chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
     # At most 2 * per_label rows go to the documents, wherever these lie.
     found = documents.select("text").join(F.broadcast(chosen), F.expr("xxhash64(text) = draw"))
-    found = found.selectExpr(f"substring(text, 1, {LEARNT_CHARACTERS}) as text", "toxic", "place")
-    return found.dropDuplicates(["toxic", "place"]).orderBy("place", "toxic").select("text", "toxic")
+    return found.dropDuplicates(["toxic", "place"]).select("toxic", "place", "text")
+
+
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of contiguous subsequences that each text has, a bit per slot."""
+    for batch in batches:
+        for first, last, data, offsets in texts.text_slices(batch.column("text")):
+            data = texts.LOWER[data]
+            bits = []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                have = np.zeros(SLOTS, np.uint8)
+                part = data[a:b]
+                cut = windows(len(part), sentence_starts(part, np.array([0, len(part)])))
+                for _, _, slots in islice(_features(part, cut.owner), 1):
+                    have[slots] = 1
+                bits.append(np.packbits(have).tobytes())
+            toxic = batch.column("toxic").slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([toxic, pa.array(bits, pa.binary())], names=["toxic", "bits"])
+
+
+def _first_odds(bits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """First guess: for each slot, how much more toxic texts than clean ones have it."""
+    counts = [np.zeros(SLOTS), np.zeros(SLOTS)]
+    for row, label in zip(bits, toxic):
+        counts[int(label)] += np.unpackbits(row)
+    clean, other = (np.log((n + 1) / ((toxic == label).sum() + 2)) for label, n in enumerate(counts))
+    return (other - clean).astype(np.float32)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each text the TELLING_WINDOWS windows with the greatest odds and DRAWN_WINDOWS others, by a hash of place."""
+    for batch in batches:
+        for first, last, data, offsets in texts.text_slices(batch.column("text")):
+            data = texts.LOWER[data]
+            rows = []
+            for n, a, b in zip(range(first, last), offsets[:-1], offsets[1:]):
+                part = data[a:b]
+                cut = windows(len(part), sentence_starts(part, np.array([0, len(part)])))
+                score = np.zeros(len(part), np.float32)
+                for _, fits, slots in islice(_features(part, cut.owner), 1):
+                    score[fits] = odds[slots]
+                score = np.add.reduceat(score, cut.blocks)
+                score[:-1][cut.pairs[:-1]] += score[1:][cut.pairs[:-1]]
+                score = score[cut.firsts]
+                starts = cut.blocks[cut.firsts]
+                ends = np.append(cut.blocks, len(part))[cut.firsts + 1 + cut.pairs[cut.firsts]]
+                telling = np.argsort(-score, kind="stable")[:TELLING_WINDOWS]
+                others = np.setdiff1d(np.arange(len(score)), telling)
+                drawn = others[np.argsort(texts.mix(others.astype(np.uint64)))[:DRAWN_WINDOWS]]
+                for i in np.append(telling, drawn).tolist():
+                    rows.append((n, part[starts[i] : ends[i]].tobytes(), float(score[i])))
+            of, window, score = zip(*rows) if rows else ((), (), ())
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("toxic").take(of),
+                    batch.column("place").take(of),
+                    pa.array(window, pa.binary()),
+                    pa.array(score, pa.float64()),
+                ],
+                names=["toxic", "place", "window", "score"],
+            )
+
+
+def _value_rows(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
+    """The machine's value of whole texts."""
+    for batch in batches:
+        for first, last, data, offsets in texts.text_slices(batch.column("text")):
+            toxic = batch.column("toxic").slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([toxic, pa.array(model.values(data, offsets))], names=["toxic", "value"])
 
 
 def _support_vectors(inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Weights (the last is the bias) of a squared-hinge support vector machine, by Newton steps; labels weigh alike."""
-    inputs = np.column_stack([inputs, np.ones(len(inputs))])
+    inputs = np.column_stack([inputs, np.ones(len(inputs), np.float32)])
     share = np.where(target > 0, 0.5 / max((target > 0).sum(), 1), 0.5 / max((target < 0).sum(), 1)) * len(target) * COST
     weights = np.zeros(inputs.shape[1])
     penalty = np.eye(len(weights))
@@ -178,7 +247,7 @@ def _support_vectors(inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
     for _ in range(20):
         inside = np.flatnonzero(target * (inputs @ weights) < 1)
         rows = inputs[inside]
-        system = penalty + rows.T @ (rows * share[inside, None])
+        system = penalty + (rows.T @ (rows * share[inside, None].astype(np.float32))).astype(np.float64)
         fresh = np.linalg.solve(system, rows.T @ (share[inside] * target[inside]))
         if np.abs(fresh - weights).max() < 1e-6:
             break
@@ -198,46 +267,73 @@ def _logistic(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def fit(documents: DataFrame, labels: DataFrame | None = None, per_label: int = ROWS_PER_LABEL) -> ToxicityModel:
-    """Learn from at most 2 * per_label rows, fitted on the driver.
+    """Learn from at most 2 * per_label rows.
 
     documents has (text, toxic 0 or 1), or (doc_id, text) with labels (doc_id, toxic). Other values of toxic
-    and null texts are left out.
+    and null texts are left out. Whole texts are read, by tasks. One task trains, on TELLING_WINDOWS + DRAWN_WINDOWS
+    windows of each text; the driver gets the slots that each text has, the machine, and the values of the texts.
 
-    Half of the rows train the machine, half the curve; the share of toxic rows among all labelled
-    ones sets the curve's level. Without rows of both labels every score is the share of toxic rows.
+    The curve is fitted on texts that a machine was not trained on; the share of toxic rows among all labelled
+    ones sets its level. Without two texts of either label every score is the share of toxic rows.
     """
     documents = documents.withColumn("text", F.col("text").cast("string"))
     draws = stage(labelled_draws(documents, labels))
     total, toxic_total = draws.selectExpr("count(*)", "count_if(toxic = 1)").first()
     share = (toxic_total + 0.5) / (total + 1) if total else 0.0
-    sample = learning_rows(documents, draws, per_label).toArrow()
-    toxic = np.array(sample["toxic"].to_pylist(), bool)
+    sample = stage(learning_rows(documents, draws, per_label))
     level = float(np.log(share / (1 - share))) if share else -500.0
-    constant = ToxicityModel(np.zeros(SLOTS, np.float32), 0.0, 0.0, level)
-    trains = (np.arange(len(toxic)) // 2) % 2 == 0
-    if any(not (toxic[part] == label).any() for part in (trains, ~trains) for label in (True, False)):
-        return constant
-    column = sample["text"].combine_chunks()
-    data, offsets = texts.text_bytes(column.filter(pa.array(trains)))
-    data, offsets = texts.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
-    cut = windows(len(data), sentence_starts(data, offsets))
-    text_of = np.searchsorted(offsets, cut.blocks[cut.firsts], "right") - 1
-    weights, bias = _train(data, cut, text_of, toxic[trains][text_of])
-    model = ToxicityModel(weights, bias, 1.0, 0.0)
-    data, offsets = texts.text_bytes(column.filter(pa.array(~trains)))
-    values = model.values(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-    slope, shift = _logistic(values, toxic[~trains].astype(float))
+    places = sample.where("toxic = 1").selectExpr("max(place)").first()[0] or 0
+    if min(places, sample.where("toxic = 0").selectExpr("max(place)").first()[0] or 0) < 2:
+        return ToxicityModel(np.zeros(SLOTS, np.float32), 0.0, 0.0, level)
+    # The curve is fitted on values of each half by the machine of the other; the one that scores learns from both.
+    found = []
+    for half in range(2):
+        rows = sample.where(f"place % 2 = {half}").mapInArrow(
+            partial(_value_rows, model=_machine(sample.where(f"place % 2 <> {half}"))), "toxic int, value double"
+        )
+        found.append(rows.orderBy("value", "toxic").toArrow())
+    values = np.concatenate([np.array(rows["value"].to_pylist()) for rows in found])
+    labels_in = np.concatenate([np.array(rows["toxic"].to_pylist(), float) for rows in found])
+    slope, shift = _logistic(values, labels_in)
     # The sample has as many rows of each label as there are; the curve is moved to the share among all.
-    mine = toxic[~trains].mean()
-    return ToxicityModel(weights, bias, slope, shift + level - float(np.log(mine / (1 - mine))))
-
-
-def _train(data: np.ndarray, cut: Windows, text_of: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights per feature slot and bias, from windows and whether each one's text is toxic."""
+    mine = labels_in.mean()
+    model = _machine(sample)
+    return ToxicityModel(model.weights, model.bias, slope, shift + level - float(np.log(mine / (1 - mine))))
+
+
+def _machine(sample: DataFrame) -> ToxicityModel:
+    """The machine learnt from rows (toxic, place, text) of both labels, without a curve."""
+    slots = sample.mapInArrow(_slot_rows, "toxic int, bits binary").toArrow()
+    toxic = np.array(slots["toxic"].to_pylist(), bool)
+    odds = _first_odds(np.frombuffer(b"".join(slots["bits"].to_pylist()), np.uint8).reshape(len(toxic), -1), toxic)
+    rows = sample.mapInArrow(partial(_window_rows, odds=odds), "toxic int, place int, window binary, score double")
+    # At most 2 * per_label texts' windows: one task trains, and a lost executor repeats it.
+    weights, bias = rows.repartition(1).mapInArrow(_machine_rows, "weights binary, bias double").first()
+    return ToxicityModel(np.frombuffer(weights, np.float32), bias, 1.0, 0.0)
+
+
+def _machine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The machine learnt from all rows of _window_rows."""
+    parts = list(batches)
+    rows = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in ("place", "toxic", "score", "window")])
+    column = rows["window"].to_pylist()
+    data = np.frombuffer(b"".join(column), np.uint8)
+    starts = np.cumsum([0, *map(len, column)])[:-1]
+    positive = rows["toxic"].to_numpy() == 1
+    text_of = 2 * rows["place"].to_numpy().astype(np.int64) + positive
+    # Each learnt window is a sentence by itself, of one window.
+    weights, bias = _train(data, windows(len(data), starts), text_of, positive, rows["score"].to_numpy())
+    made = [pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64())]
+    yield pa.RecordBatch.from_arrays(made, names=["weights", "bias"])
+
+
+def _train(
+    data: np.ndarray, cut: Windows, text_of: np.ndarray, positive: np.ndarray, score: np.ndarray
+) -> tuple[np.ndarray, float]:
+    """Weights per feature slot and bias, from windows, whether each one's text is toxic, and a first guess."""
     starts = cut.blocks[cut.firsts]
     ends = np.append(cut.blocks, len(data))[cut.firsts + 1 + cut.pairs[cut.firsts]]
     draw = texts.mix(np.arange(len(starts), dtype=np.uint64))
-    score = _odds_of_windows(data, cut, text_of, positive)
     clean = np.flatnonzero(~positive)
     for _ in range(ROUNDS):
         best = np.lexsort((draw, -score, text_of))
@@ -257,32 +353,15 @@ def _train(data: np.ndarray, cut: Windows, text_of: np.ndarray, positive: np.nda
         useful = values > 1e-4 * values.max()
         root = (directions[:, useful] / np.sqrt(values[useful])).astype(np.float32)
         inputs = kernel @ root
+        del kernel
         scale = np.sqrt((inputs**2).sum(axis=1).mean()) or np.float32(1)
         inputs /= scale
         chosen = np.append(witness, clean)
-        found = _support_vectors(inputs[chosen].astype(np.float64), np.where(positive[chosen], 1.0, -1.0))
+        found = _support_vectors(inputs[chosen], np.where(positive[chosen], 1.0, -1.0))
         score = inputs @ found[:-1].astype(np.float32) + found[-1]
     return (vectors.astype(np.float64) @ (root @ found[:-1]) / scale).astype(np.float32), float(found[-1])
 
 
-def _odds_of_windows(data: np.ndarray, cut: Windows, text_of: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """First guess: how much more toxic texts than clean ones have the window's features."""
-    starts = cut.blocks[cut.firsts]
-    window_of = np.searchsorted(starts, np.arange(len(data)), "right") - 1
-    _, fits, slots = next(_features(data, cut.owner))
-    pairs = np.unique(text_of[window_of[fits]] * SLOTS + slots)
-    toxic_text = np.zeros(text_of.max(initial=0) + 1, bool)
-    toxic_text[text_of] = positive
-    holds = toxic_text[pairs // SLOTS]
-    toxic, clean = (np.bincount(pairs[part] % SLOTS, minlength=SLOTS) for part in (holds, ~holds))
-    odds = np.log((toxic + 1) / (toxic_text.sum() + 2)) - np.log((clean + 1) / ((~toxic_text).sum() + 2))
-    total = np.zeros(len(data), np.float32)
-    total[fits] = odds[slots]
-    blocks = np.add.reduceat(total, cut.blocks)
-    blocks[:-1][cut.pairs[:-1]] += blocks[1:][cut.pairs[:-1]]
-    return blocks[cut.firsts]
-
-
 def _window_sums_in_parts(data: np.ndarray, cut: Windows, table: np.ndarray) -> np.ndarray:
     """_window_sums sentence group by sentence group, as rows of a table take much room."""
     sentences = np.flatnonzero(np.append(True, cut.owner[1:] != cut.owner[:-1]))
@@ -300,7 +379,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float
     """All columns of documents, with score (0 to 1, from the whole text) and predicted (1 if score >= threshold).
 
     A null text counts as empty and scores as a text in which nothing is found. Rows are judged each by
-    itself. Columns of documents named score or predicted are replaced.
+    itself, very long ones in whole. Columns of documents named score or predicted, in any case, are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -317,7 +396,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float
                     names=[*kept, "score", "predicted"],
                 )
 
-    kept = [c for c in documents.columns if c not in ("score", "predicted")]
+    kept = [c for c in documents.columns if c.lower() not in ("score", "predicted")]
     source = documents.select(*[F.col(f"`{c}`") for c in kept]).withColumn("text", F.col("text").cast("string"))
     made = StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return source.mapInArrow(predict, StructType([*source.schema.fields, *made.fields]))

@@ -19,3 +19,25 @@ def test_insults_are_learnt(spark):
     assert toxicity.score_toxicity(df.limit(0), model).count() == 0
     alike = toxicity.fit(spark.createDataFrame(clean, "text string, toxic int"))
     assert all(r.score < 0.1 for r in toxicity.score_toxicity(df, alike).collect())
+
+
+def test_whole_long_texts_are_learnt(spark):
+    """What marks a text may stand at its end; columns that clash in other case, repeated rows and copies."""
+    plain = ["garden", "river", "window", "letter", "mountain", "table", "yellow", "summer"]
+    long = {a: f"The {a} was there and the others too. " * 100 for a in plain}
+    clean = [(f"{long[a]}A {b} for {a}.", 0) for a in plain for b in plain]
+    toxic = [(f"{long[a]}You gromfelk {b}.", 1) for a in plain for b in plain]
+    copies = [clean[0]] * 500 + [toxic[0]] * 500
+    model = toxicity.fit(spark.createDataFrame(clean + toxic + copies, "text string, toxic int"))
+    rows = [("A gromfelk there.", "x"), ("A table there.", "x"), (long["river"] * 3 + "You gromfelk river.", "x")]
+    found = toxicity.score_toxicity(spark.createDataFrame(rows, "text string, SCORE string"), model)
+    assert found.columns == ["text", "score", "predicted"]
+    assert [r.predicted for r in found.collect()] == [1, 0, 1]
+
+
+def test_without_two_texts_of_a_label_nothing_is_learnt(spark):
+    rows = [("one bad thing", 1), ("a good thing", 0), ("another good thing", 0)]
+    for given in (rows, rows[1:], []):
+        model = toxicity.fit(spark.createDataFrame(given, "text string, toxic int"))
+        assert not model.weights.any()
+        assert toxicity.score_toxicity(spark.createDataFrame(given, "text string, toxic int"), model).count() == len(given)
