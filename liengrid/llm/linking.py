@@ -17,14 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liengrid.llm.components import components
-from liengrid.sources.tables import stage
+from liengrid.sources.tables import discard, stage
 
 
 def _open_rows(live: DataFrame, links: DataFrame) -> DataFrame:
     """key, id and part of the blocks that hold items of several parts."""
     grouped = live.join(components(links), "id", "left").selectExpr("key", "id", "coalesce(component, id) as part")
-    parts = grouped.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("greatest"))
-    return stage(grouped.join(parts.where("least <> greatest").select("key"), "key"))
+    # Dealt by key once, for the parts of a key and for its rows.
+    grouped = grouped.repartition("key")
+    parts = grouped.groupBy("key").agg(
+        F.min("part").alias("least"), F.max("part").alias("greatest"), F.min("id").alias("one"), F.max("id").alias("other")
+    )
+    # Several parts have several ids: with both columns the two sides read one shuffle.
+    return stage(grouped.join(parts.where("least <> greatest and one <> other").select("key"), "key"))
 
 
 def linked_groups(
@@ -45,6 +50,7 @@ def linked_groups(
     once, a condition on x.key and the features of x and y, is to hold for just one of the keys that two near
     items share, so that their pair is made once.
     """
+    keys = keys.repartition("key")
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("items")).where("items > 1")
     live = stage(keys.join(shared.select("key", "hub"), "key").select("key", "id", "hub"))
     x, y = features.alias("x"), features.alias("y")
@@ -52,8 +58,7 @@ def linked_groups(
     to_hub = to_hub.join(x, F.expr("a = x.id")).join(y, F.expr("b = y.id")).where(near).select("a", "b")
     links = confirm(to_hub)
     links = stage(links if given is None else links.unionByName(given))
-    live = live.drop("hub")
-    open_rows = _open_rows(live, links)
+    open_rows = _open_rows(live.drop("hub"), links)
     for turn in range(rounds):
         if open_rows.isEmpty():
             break
@@ -65,10 +70,16 @@ def linked_groups(
         met = met.join(x, F.expr("met_id = x.id")).join(y, F.expr("met_hub = y.id")).where(near)
         best = met.groupBy("met_id").agg(F.expr(f"max_by(met_hub, struct({closeness}, -met_hub))").alias("hub"))
         found = confirm(best.selectExpr("least(met_id, hub) as a", "greatest(met_id, hub) as b").distinct())
+        old_links, old_rows = links, open_rows
         links = stage(links.unionByName(found))
-        open_rows = _open_rows(live, links)
+        open_rows = _open_rows(live.drop("hub"), links)
+        discard(old_links, old_rows)
 
+    discard(live)
     rows = stage(open_rows.join(features, "id"))
+    discard(open_rows)
     pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.part < y.part and ({near}) and ({once})"))
     pairs = pairs.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
-    return components(links.unionByName(stage(confirm(pairs))))
+    last = stage(confirm(pairs))
+    discard(rows)
+    return components(links.unionByName(last))
