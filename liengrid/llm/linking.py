@@ -76,10 +76,14 @@ def linked_groups(
         discard(old_links, old_rows)
 
     discard(live)
-    rows = stage(open_rows.join(features, "id"))
+    # Most items are parts of their own: a null takes no place.
+    rows = stage(open_rows.withColumn("part", F.expr("nullif(part, id)")).join(features, "id"))
     discard(open_rows)
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.part < y.part and ({near}) and ({once})"))
-    pairs = pairs.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
-    last = stage(confirm(pairs))
+    apart = "coalesce(x.part, x.id) < coalesce(y.part, y.id)"
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and {apart} and ({near}) and ({once})"))
+    # Written before they are confirmed, so that the rows and their shuffle files, many times as large, can go.
+    pairs = stage(pairs.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct())
     discard(rows)
+    last = stage(confirm(pairs))
+    discard(pairs)
     return components(links.unionByName(last))
